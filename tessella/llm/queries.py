@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat_formatting
+from .flac import op9_media_columns
+from .mixing import op6_mixing
 from .packing import op7_packing
 from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_media_columns": op9_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
