@@ -15,6 +15,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -93,6 +94,15 @@ def crc_mod_py(value: int | None, mod: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % mod
 
 
+def few(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about limit bytes."""
+    for b in batches:
+        per = max(1, b.nbytes // max(1, b.num_rows))
+        step = max(1, limit // per)
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One large_string array without nulls."""
     if isinstance(column, pa.ChunkedArray):

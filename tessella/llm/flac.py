@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import raw, ship, strings, table
+from .common import few, raw, ship, strings, table
 
 BLOCK, RATE, PAD, LANES, ORDER, PRECISION, SHIFT = 576, 8000, 255, 4096, 4, 9, 6
 #: Fixed predictors of orders 0 to 4, as the format defines them.
@@ -393,22 +393,13 @@ def padded(text: bytes) -> bytes:
     return text + bytes([PAD]) * (-len(text) % BLOCK if text else BLOCK)
 
 
-def _few(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about limit bytes."""
-    for b in batches:
-        per = max(1, b.nbytes // max(1, b.num_rows))
-        step = max(1, limit // per)
-        for a in range(0, b.num_rows, step):
-            yield b.slice(a, step)
-
-
 def to_flac(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes and media, the FLAC stream of the padded text."""
     ship(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches):
+        for b in few(batches):
             data, at = raw(strings(b.column(1)))
             all_ = data.tobytes()
             texts = [all_[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -423,7 +414,7 @@ def to_pcm(media: DataFrame, *, id: str = "doc_id") -> DataFrame:
     kind = media.schema[id].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches):
+        for b in few(batches):
             ids, offsets, blocks = [], [], []
             for i, x in enumerate(decode(b.column(1).to_pylist())):
                 for a in range(0, len(x), 64 * BLOCK):
@@ -446,7 +437,7 @@ def media_digest(media: DataFrame, *, id: str = "doc_id") -> DataFrame:
     kind = media.schema[id].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _few(batches):
+        for b in few(batches):
             rows = []
             streams = b.column(2).to_pylist()
             for s, x in zip(streams, decode(streams)):

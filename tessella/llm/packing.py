@@ -7,7 +7,7 @@ partitions with the largest imbalance merge, the fullest window of one with the
 until one is left. Its windows are near-equal. If one exceeds the size, the window count rises by
 one and the group is solved again.
 
-No shuffle: memory is one Arrow batch and one group. A null text is empty and packs as its end id alone. Repeated rows are packed each.
+No shuffle: memory is one Arrow batch, 4 MB of texts at work (or one longer text) and one group. A null text is empty and packs as its end id alone. Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, strings, table
+from .common import few, ship, strings, table
 from .wordbpe import WordBpe
 
 SIZE, GROUP, PIECE = 2048, 256, 512
@@ -77,7 +77,7 @@ def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
         bpe = WordBpe.at(path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        for b in batches:
+        for b in few(batches, 4 << 20):
             ids, at = bpe.encode(strings(b.column(1)))
             n = np.diff(at)
             n_docs = len(n)

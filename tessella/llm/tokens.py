@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import raw, ship, strings, table
+from .common import few, raw, ship, strings, table
 from .wordbpe import WordBpe
 
 CHUNK, OVERLAP = 16_384, 256
@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.at(path)
-        for b in batches:
+        for b in few(batches):
             t = strings(b.column(1))
             chars = pc.utf8_length(t).to_numpy(zero_copy_only=False)
             huge = np.flatnonzero(chars > chunk)

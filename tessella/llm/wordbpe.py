@@ -18,7 +18,7 @@ from .common import words_of
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
 #: Bounds of a worker's caches, in entries.
-WORDS, PIECES = 400_000, 400_000
+WORDS, PIECES = 200_000, 200_000
 
 
 def _byte_chars() -> dict[int, str]:
