@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat_formatting
 from .flac import op9_media_columns
+from .jaccard import op2_ngram_jaccard
 from .language import op3_language_id
 from .mixing import op6_mixing
 from .packing import op7_packing
@@ -16,6 +17,7 @@ from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
