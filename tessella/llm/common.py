@@ -104,10 +104,11 @@ def few(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """One large_string array without nulls."""
+    """One large_string array without nulls, whose offsets start at 0 (some kernels err on slices that don't)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    data, at = raw(pc.fill_null(column.cast(pa.large_string()), ""))
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(data))
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +128,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         keep = full.to_numpy(zero_copy_only=False)
         at = np.concatenate([[0], np.cumsum(keep)])[at]
         flat = flat.filter(full)
-    else:
-        flat, at = flat.slice(at[0], at[-1] - at[0]), at - at[0]
-    return flat, at
+    return flat.slice(at[0], at[-1] - at[0]), at - at[0]
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
