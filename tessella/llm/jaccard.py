@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import few, hash_strings, mix64, raw, release, ship, strings, table, words_of, written
 from .components import components
 
-WORDS, RUN, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 2_000_000, 2_000_000, 16 << 20
+WORDS, RUN, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 1_000_000, 2_000_000, 4 << 20
 #: Similarity 3/4: linked sizes differ by 4/3 at most, and the symmetric difference is at most a seventh of the sizes' sum.
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
