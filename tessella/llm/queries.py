@@ -13,12 +13,14 @@ from .language import op3_language_id
 from .mixing import op6_mixing
 from .packing import op7_packing
 from .quality import op1_quality_rules
+from .suffixes import op4_suffix_dedup
 from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
