@@ -267,7 +267,7 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     n = wanted.count()
     sent = None
     if n <= SENT_CLASSES:  # 8 bytes each
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["name"].to_numpy(np.int64)))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("name").to_numpy()))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):

@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, *, id: str, text: str, lang: str, per_language: int
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "bucket", "n"])
 
     sample = labelled.where(unit < cut).select("text", "lang").repartition(8)
-    found = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table_, seen = np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(SCRIPTS)))
     for x, own in found.groupby("lang"):
         i = langs.index(x)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat_formatting
+from .ctw import op10_lm_scoring
 from .flac import op9_media_columns
 from .jaccard import op2_ngram_jaccard
 from .language import op3_language_id
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_media_columns": op9_media_columns,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}

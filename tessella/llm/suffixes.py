@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     release(spark)
     wanted = codes.groupBy("name").agg(F.collect_list("code").alias("codes"))
     n = codes.select("name").distinct().count()
-    sent = spark.sparkContext.broadcast(np.sort(codes.select("name").distinct().toPandas()["name"].to_numpy(np.int64))) if n <= SENT else None
+    sent = spark.sparkContext.broadcast(np.sort(codes.select("name").distinct().toArrow().column("name").to_numpy())) if n <= SENT else None
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     left = left.join(copied, F.col("name") == F.col("copied"), "left_anti").select(F.col("name").alias("_cut_"), F.col("kept").alias("_kept_"))
     left = written(left.unionByName(copied.select(F.col("copied").alias("_cut_"), F.lit(b"").alias("_kept_"))), "left")
     n = left.count()
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(left.select("_cut_").toPandas()["_cut_"].to_numpy(np.int64))) if n <= SENT else None
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(left.select("_cut_").toArrow().column("_cut_").to_numpy())) if n <= SENT else None
     column = docs.columns.index(text)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
