@@ -13,8 +13,10 @@ linked sets agree on whole segments.
   reserve segments. Sets for which even that is too little go through a join on all their hashes.
 * A key's sets meet in a reducer. Small runs give their pairs. A long run gives the pairs of its least set and keeps
   its members; once these pairs are verified and joined into components, members already connected need no pair, so a group of thousands of
-  copies costs its size, not its square; what is left of a run gives all pairs between different components.
-* Every pair is verified on the shingles of both texts. Links make components.
+  copies costs its size, not its square; what is left of a run is compared, between different components, by sketches.
+* A sketch holds the parities of a set's hashes in 2^k >= 2n bits. The bits in which two sketches differ are a lower bound of the symmetric
+  difference, so a pair with more than a seventh of its sizes' sum cannot link: no text is fetched for it, and no link is lost.
+* Every pair left is verified on the shingles of both texts. Links make components.
 
 Null and empty texts have no set and link with nothing. Ids may repeat or be null; classes go by texts. The number of reducers follows the number of shingles.
 """
@@ -72,6 +74,52 @@ def _class(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return n, mix64((total[ends[1:]] - total[ends[:-1]]) + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes in 2^k bits, k by its size."""
+    bits = 1 << min(16, max(6, (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch with fewer bits: its halves over each other."""
+    x = np.frombuffer(sketch, "<u8")
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs a, b whose sketches leave room for a link; rows a, b, n and sketch of both."""
+    for b in batches:
+        ok = []
+        for m, n, x, y in zip(*(b.column(j).to_pylist() for j in (2, 3, 4, 5))):
+            w = min(len(x), len(y)) // 8
+            ok.append(int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) <= (m + n) // 7)
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+
+def _run_pairs(group: pa.Table) -> pa.Table:
+    """Of one long run: the pairs between different components whose roles, sizes and sketches leave room for a link."""
+    name, n, role, component = (group.column(c).to_numpy() for c in ("name", "n", "role", "component"))
+    sketches = group.column("sketch").to_pylist()
+    w = min(map(len, sketches)) // 8
+    bits = np.stack([_folded(x, w) for x in sketches])
+    one, two = [], []
+    step = max(1, (1 << 22) // (w * len(name)))
+    for a in range(0, len(name), step):
+        i = np.arange(a, min(a + step, len(name)))[:, None]
+        j = np.arange(len(name))[None, :]
+        ok = (name[i] < name[j]) & (component[i] != component[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+        ok &= ((role[i] & PROBE != 0) & (role[j] & INDEX != 0)) | ((role[j] & PROBE != 0) & (role[i] & INDEX != 0))
+        x, y = np.nonzero(ok)
+        x = x + a
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= (n[x] + n[y]) // 7
+        one.append(name[x[near]])
+        two.append(name[y[near]])
+    return pa.table([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
+
+
 def _plan(band: int) -> tuple[int, int, int]:
     """Of a band: its largest size, its segments, its reserve segments."""
     high = int(EDGES[band + 1]) - 1
@@ -308,22 +356,32 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
-            n, names = _class(shingle_sets(strings(b.column(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0)], [id, "n_shingles", "name"])
+            sets = shingle_sets(strings(b.column(1)))
+            n, names = _class(sets)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary())], [id, "n_shingles", "name", "sketch"])
 
-    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long"), "members")
+    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary"), "members")
     total = members.agg(F.sum("n_shingles")).head()[0] or 0
     parts = max(8, -(-total * 3 // (4 * ENTRIES)))
     sent = docs.select(text).mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
     met = written(sent.groupBy("p").applyInArrow(_meet, _MET), "met")
     release(spark)
-    pairs = written(met.where("kind = 0").select("a", "b").distinct(), "pairs")
-    runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role")
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(runs.select("name")).distinct()
-    texts = _texts(docs, text, wanted)
-    links = written(_verified(pairs, texts), "links")
+    sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["name"]), "sketches")
+    one = sketches.select(F.col("name").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ak"))
+    two = sketches.select(F.col("name").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bk"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ak", "bk").mapInArrow(_may_link, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+        return written(_verified(pairs, _texts(docs, text, wanted)), "links")
+
+    done = written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs")
+    links = verified(done)
+    release(spark)
     names = components(links)
-    done = pairs
+    runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role")
     for turn in range(3):
         # members of long runs that are not connected yet
         at = runs.join(names, runs.name == names.node, "left").select("run", "name", "n", "role", F.coalesce("component", "name").alias("component"))
@@ -331,20 +389,18 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         runs = written(at.join(open_, "run", "left_semi"), "runs")
         if not runs.head(1):
             break
-        one = runs.select("run", F.col("name").alias("a"), F.col("n").alias("an"), F.col("role").alias("ar"), F.col("component").alias("ac"))
-        two = runs.select("run", F.col("name").alias("b"), F.col("n").alias("bn"), F.col("role").alias("br"), F.col("component").alias("bc"))
-        if turn < 2:  # another pivot for each run; the last turn takes all pairs between components
-            pivot = runs.groupBy("run").agg(F.min_by("name", F.xxhash64(F.lit(turn), "name")).alias("a"))
-            one = one.join(pivot, ["run", "a"], "left_semi")
-        across = one.join(two, "run").where("ac <> bc AND 4 * least(an, bn) >= 3 * greatest(an, bn) AND (((ar & 2) <> 0 AND (br & 1) <> 0) OR ((br & 2) <> 0 AND (ar & 1) <> 0))")
-        if turn == 2:
-            across = across.where("a < b")
-        fresh = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        if turn < 2:  # another pivot for each run
+            pivot = runs.groupBy("run").agg(F.min_by(F.struct("name", "component"), F.xxhash64(F.lit(turn), "name")).alias("p"))
+            across = runs.join(pivot, "run").where("component <> p.component AND name <> p.name")
+            met_ = across.select(F.least("name", "p.name").alias("a"), F.greatest("name", "p.name").alias("b")).distinct()
+            fresh = near(met_.join(done, ["a", "b"], "left_anti"))
+        else:  # what is left, inside each run
+            full = runs.join(sketches.select("name", "sketch"), "name").select("run", "name", "n", "role", "component", "sketch")
+            fresh = full.groupBy("run").applyInArrow(_run_pairs, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
         fresh = written(fresh, "pairs")
         done = done.union(fresh)
-        new = written(_verified(fresh, texts), "links")
-        links = links.union(new)
-        if new.head(1):
+        if fresh.head(1):
+            links = links.union(verified(fresh))
             names = components(links)
         runs = runs.select("run", "name", "n", "role")
     rest = met.where("kind = 2").select(F.col("b").alias("name"))
