@@ -8,6 +8,7 @@ import hmac as _hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(value: Column, kind: str) -> Column:
@@ -23,7 +24,7 @@ def sha256(value: Column, kind: str = "string") -> Column:
     return F.unhex(F.sha2(canonical(value, kind), 256))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _hmac_batch(key: pd.Series, message: pd.Series) -> pd.Series:
     return pd.Series([_hmac.new(bytes(k), bytes(m), hashlib.sha256).digest() for k, m in zip(key, message)])
 
