@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, few, hash_strings, raw, release, ship, strings, sums, table, words_of, written
 
-DEPTH, BITS, HEAD, RANGES, SLICE, CHUNK, PARTS = 5, 21, 1 << 20, 16, 4 << 20, 1 << 18, 32
+DEPTH, BITS, HEAD, RANGES, SLICE, CHUNK, PARTS = 5, 21, 1 << 20, 16, 3 << 20, 1 << 18, 32
 SLOTS = 1 << BITS
 END = "\n"  # no word holds it
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
