@@ -1,0 +1,25 @@
+from __future__ import annotations
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from tessella.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = queries.QUERIES[name](spark, DATA)
+    want = con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
