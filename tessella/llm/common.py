@@ -10,6 +10,7 @@ Conventions that hold in every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
 
 
 def ship(spark: SparkSession) -> None:
@@ -94,13 +99,22 @@ def crc_mod_py(value: int | None, mod: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % mod
 
 
-def few(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about limit bytes."""
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: workers live through many tasks, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def few(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about limit bytes; what one slice took is given back before the next."""
     for b in batches:
         per = max(1, b.nbytes // max(1, b.num_rows))
         step = max(1, limit // per)
         for a in range(0, b.num_rows, step):
             yield b.slice(a, step)
+            if b.nbytes > 1 << 20:
+                trim()
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ partitions with the largest imbalance merge, the fullest window of one with the
 until one is left. Its windows are near-equal. If one exceeds the size, the window count rises by
 one and the group is solved again.
 
-No shuffle: memory is one Arrow batch, 4 MB of texts at work (or one longer text) and one group. A null text is empty and packs as its end id alone. Repeated rows are packed each.
+No shuffle: memory is one Arrow batch, 2 MB of texts at work (or one longer text) and one group. A null text is empty and packs as its end id alone. Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
         bpe = WordBpe.at(path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        for b in few(batches, 4 << 20):
+        for b in few(batches, 2 << 20):
             ids, at = bpe.encode(strings(b.column(1)))
             n = np.diff(at)
             n_docs = len(n)
@@ -109,7 +109,9 @@ def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
             crc = np.fromiter((zlib.crc32(data[4 * a : 4 * (a + m)]) for a, m in zip(lo.tolist(), length.tolist())), np.int64, len(doc))
             out = [b.column(0).take(pa.array(doc)), *(pa.array(x) for x in (start, length, crc, total[doc], seq, offset))]
             if with_ids:
-                out.append(pa.array([full[a : a + m].astype(np.int32) for a, m in zip(lo.tolist(), length.tolist())], pa.list_(pa.int32())))
+                ends = np.concatenate([[0], np.cumsum(length)])
+                take = np.repeat(lo - ends[:-1], length) + np.arange(ends[-1])
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(full[take].view(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = [id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
