@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, hash_strings, mix64, raw, release, ship, strings, table, words_of, written
+from .common import few, hash_strings, mix64, raw, release, ship, strings, table, text_hashes, words_of, written
 from .components import components
 
 WORDS, RUN, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 1_000_000, 2_000_000, 4 << 20
@@ -310,26 +310,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """name, text of the wanted classes; a filter goes to the scan if its size allows, else the join alone decides."""
+    """name, text of the wanted classes (name, and the hash of one text of it); a filter goes to the scan if its size allows, else the join alone decides."""
     wanted = written(wanted, "wanted")
     n = wanted.count()
     sent = None
     if n <= SENT_CLASSES:  # 8 bytes each
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("name").to_numpy()))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select("hash").toArrow().column("hash").to_numpy()))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             t = strings(b.column(0))
-            size, names = _class(shingle_sets(t))
-            keep = size > 0
-            if sent is not None:
-                keep &= np.isin(names, sent.value)
-            _, first = np.unique(np.where(keep, names, 0), return_index=True)
-            first = first[keep[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(names[first]), t.take(pa.array(first)).cast(pa.string())], ["name", "text"])
+            hashes, _ = text_hashes(t)
+            keep = np.flatnonzero(np.isin(hashes, sent.value)) if sent is not None else np.arange(len(hashes))
+            keep = keep[np.unique(hashes[keep], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), t.take(pa.array(keep)).cast(pa.string())], ["hash", "text"])
 
-    found = docs.select(text).mapInArrow(name, "name long, text string")
-    return written(found.join(wanted, "name", "left_semi").dropDuplicates(["name"]), "texts")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(find, "hash long, text string").dropDuplicates(["hash"])
+    return written(found.join(wanted, "hash").select("name", "text"), "texts")
 
 
 def _rest(docs: DataFrame, text: str, rest: DataFrame) -> DataFrame:
@@ -358,15 +355,16 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         for b in few(batches, SLICE):
             sets = shingle_sets(strings(b.column(1)))
             n, names = _class(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary())], [id, "n_shingles", "name", "sketch"])
+            hashes, _ = text_hashes(strings(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), pa.array(hashes)], [id, "n_shingles", "name", "sketch", "hash"])
 
-    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary"), "members")
+    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, hash long"), "members")
     total = members.agg(F.sum("n_shingles")).head()[0] or 0
     parts = max(8, -(-total * 3 // (4 * ENTRIES)))
     sent = docs.select(text).mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
     met = written(sent.groupBy("p").applyInArrow(_meet, _MET), "met")
     release(spark)
-    sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["name"]), "sketches")
+    sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch", "hash").dropDuplicates(["name"]), "sketches")
     one = sketches.select(F.col("name").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ak"))
     two = sketches.select(F.col("name").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bk"))
 
@@ -375,21 +373,21 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        return written(_verified(pairs, _texts(docs, text, wanted)), "links")
+        return written(_verified(pairs, _texts(docs, text, wanted.join(sketches.select("name", "hash"), "name"))), "links")
 
     done = written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs")
     links = verified(done)
     release(spark)
     names = components(links)
     runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role")
-    for turn in range(3):
+    for turn in range(2):
         # members of long runs that are not connected yet
         at = runs.join(names, runs.name == names.node, "left").select("run", "name", "n", "role", F.coalesce("component", "name").alias("component"))
         open_ = at.groupBy("run").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("run")
         runs = written(at.join(open_, "run", "left_semi"), "runs")
         if not runs.head(1):
             break
-        if turn < 2:  # another pivot for each run
+        if turn == 0:  # another pivot for each run
             pivot = runs.groupBy("run").agg(F.min_by(F.struct("name", "component"), F.xxhash64(F.lit(turn), "name")).alias("p"))
             across = runs.join(pivot, "run").where("component <> p.component AND name <> p.name")
             met_ = across.select(F.least("name", "p.name").alias("a"), F.greatest("name", "p.name").alias("b")).distinct()

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, written
+from .common import few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hashes, written
 
 LENGTH, CORE, TRIGGER, RATE, ENTRIES, SLICE, SENT = 400, 200, 8, 5, 1_000_000, 4 << 20, 2_000_000
 REACH = LENGTH - CORE
@@ -37,14 +36,6 @@ REACH = LENGTH - CORE
 REPEATS, EDGE, SETTLED, ALONE = 0, 1, 2, 3
 
 
-def _names(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    """A 64-bit name for each text, and its bytes."""
-    data, at = raw(texts)
-    all_ = data.tobytes()
-    own = [all_[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64), own
-
-
 def blocks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of texts end to end: prefix hashes; trigger, first and last start of each block; starts without a trigger in reach."""
     prefix = prefix_hash(data)
@@ -71,7 +62,7 @@ def blocks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _eligible(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, bytes and offsets of the distinct texts of at least LENGTH bytes."""
-    names, own = _names(texts)
+    names, own = text_hashes(texts)
     ok = np.array([len(x) >= LENGTH for x in own], bool)
     if keep is not None:
         ok &= keep
@@ -248,7 +239,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
-            names, own = _names(strings(b.column(1)))
+            names, own = text_hashes(strings(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(names), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())], [id, "n_bytes", "name", "sha256"])
 
     members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_bytes long, name long, sha256 string"), "members")
@@ -263,7 +254,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             t = strings(b.column(0))
-            names, _ = _names(t)
+            names, _ = text_hashes(t)
             keep = np.isin(names, sent.value) if sent is not None else np.ones(len(names), bool)
             at = np.flatnonzero(keep)
             at = at[np.unique(names[at], return_index=True)[1]]
@@ -283,7 +274,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             rows = []
-            _, own = _names(strings(b.column(1)))
+            _, own = text_hashes(strings(b.column(1)))
             for name, x, c, f, z in zip(b.column(0).to_pylist(), own, *(b.column(j).to_numpy(zero_copy_only=False) for j in (2, 3, 4))):
                 gone, spans = _removal(x, np.asarray(c, np.int64), np.array([f, z], np.int64))
                 if spans:
@@ -327,7 +318,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
-            names, _ = _names(strings(b.column(column)))
+            names, _ = text_hashes(strings(b.column(column)))
             hit = np.isin(names, sent.value) if sent is not None else np.ones(len(names), bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, mask=~hit)], [*b.schema.names, "_name_"])
 
