@@ -15,6 +15,11 @@ from tessella.operators.aggregates import Agg, aggregate, group_aggregate
 from tessella.operators.joins import chain_join, compare_scalar, equi_join, except_ids, in_subquery, intersect_ids, not_in_subquery, union_ids
 from tessella.operators.ordering import distinct_rows, sorted_page
 from tessella.plans.engine import Engine
+from tessella.schema import Kind
+from tessella.sources import copying, formats
+from tessella.sources.refresh import VersionedTable, refresh
+from tessella.storage import scratch
+from tessella.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,3 +595,83 @@ def rollup_counts(t):
 def hourly_counts(t):
     hour = F.window("ts", "1 hour")["start"]
     return t.events.groupBy("event_type", hour.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.unix_timestamp(c("w").cast("timestamp")).alias("hour"), "n")
+
+
+# sources, sinks, refresh and streams: each writes to the shared folder and reads back
+
+
+def _source(name: str, columns: list[tuple[str, str]], format: str, key: str, rows: str = "") -> formats.SourceDef:
+    return formats.SourceDef(name, tuple(formats.SourceColumn(n, Kind.parse(k), n) for n, k in columns), format, key, rows)
+
+
+_NATION = [("n_nationkey", "INT"), ("n_name", "VARCHAR(40)"), ("n_regionkey", "INT")]
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_csv(t):
+    formats.write_csv(t.nation, path := scratch(t.spark, "csv"))
+    return formats.read_source(t.spark, _source("nation", _NATION, "csv", "n_nationkey"), path)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def source_ndjson(t):
+    t.customer.select(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey"))).write.text(path := scratch(t.spark, "ndjson"))
+    return formats.read_source(t.spark, _source("customer", [("c_custkey", "BIGINT"), ("c_name", "VARCHAR(40)"), ("c_nationkey", "INT")], "ndjson", "c_custkey"), path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_json_envelope(t):
+    rows = t.nation.agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(*t.nation.columns)).alias("rows")).alias("data"))))
+    rows.write.text(path := scratch(t.spark, "json"))
+    return formats.read_source(t.spark, _source("nation", _NATION, "json", "n_nationkey", "data.rows"), path)
+
+
+@query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def source_parquet_zstd(t):
+    t.supplier.write.option("compression", "zstd").parquet(path := scratch(t.spark, "zstd"))
+    return formats.read_parquet(t.spark, path, ["s_suppkey", "s_name", "s_acctbal"]).withColumn("s_acctbal", cents(c("s_acctbal")))
+
+
+@query("SELECT doc_id, text FROM documents")
+def copy_text_round_trip(t):
+    copying.write_copy_text(t.documents.select("doc_id", "text"), path := scratch(t.spark, "copy"))
+    return copying.read_copy_text(t.spark, path, "doc_id long, text string")
+
+
+@query("SELECT doc_id, text FROM documents")
+def copy_csv_round_trip(t):
+    copying.write_copy_csv(t.documents.select("doc_id", "text"), path := scratch(t.spark, "copy"))
+    return copying.read_copy_csv(t.spark, path, "doc_id long, text string")
+
+
+@query("SELECT event_id, user_id, event_type, NULLIF(event_type, 'click') AS other FROM events")
+def copy_binary_round_trip(t):
+    rows = t.events.select("event_id", "user_id", "event_type", F.nullif(c("event_type"), F.lit("click")).alias("other"))
+    return copying.from_copy_binary(copying.to_copy_binary(rows), "event_id long, user_id long, event_type string, other string")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
+def refresh_upsert(t):
+    managed = VersionedTable(t.spark, scratch(t.spark, "table"))
+    managed.write(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
+    t.nation.where("n_regionkey = 2").select(F.to_json(F.struct("n_nationkey", F.lower("n_name").alias("n_name"), "n_regionkey"))).write.text(path := scratch(t.spark, "feed"))
+    refresh(managed, _source("nation", _NATION, "ndjson", "n_nationkey"), path)
+    return managed.read()
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_refresh(t):
+    rows = t.events.select("user_id", "event_id")
+    rows.repartition(3).write.parquet(path := scratch(t.spark, "in"))
+    managed = VersionedTable(t.spark, scratch(t.spark, "table"))
+    # one file a trigger: later batches may hold older events, so the newest of both sides stays
+    logs.refresh_stream(logs.read_stream(t.spark, path, "user_id long, event_id long"), managed, "user_id", "event_id", scratch(t.spark, "progress")).awaitTermination()
+    return managed.read()
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS seq, event_id FROM events WHERE event_id < 300")
+def log_append_once(t):
+    log = VersionedTable(t.spark, scratch(t.spark, "log"))
+    logs.append_once(log, t.events.where("event_id < 200").select("event_id"), ["event_id"], ["event_id"])
+    logs.append_once(log, t.events.where("event_id < 300").select("event_id"), ["event_id"], ["event_id"])
+    return log.read().select(c("seq").cast("long").alias("seq"), "event_id")

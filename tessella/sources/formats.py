@@ -84,7 +84,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, s
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.csv(path, sep=sep, header=header, quote='"', escape='"', emptyValue="", nullValue="")
+    df.write.csv(path, sep=sep, header=header, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

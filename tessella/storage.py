@@ -1,15 +1,28 @@
-"""Where intermediate results go."""
+"""Where intermediate results go: the folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where that is unset, as in tests."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    had = sc._jsc.sc().getCheckpointDir()
+    at = sc.getConf().get("spark.checkpoint.dir") or (had.get() if had.isDefined() else tempfile.mkdtemp(prefix="tessella-"))
+    if not had.isDefined():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
+    """df computed once."""
+    shared(df.sparkSession)
     return df.checkpoint()

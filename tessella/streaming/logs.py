@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.changes import latest, upsert
+from tessella.operators.changes import latest
 from tessella.sources.refresh import VersionedTable
 
 
@@ -35,11 +35,10 @@ def read_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
 
 
 def refresh_stream(stream: DataFrame, table: VersionedTable, key: str, order: str, checkpoint: str, then: Callable[[], None] | None = None):
-    """Upsert each micro-batch into a table, latest wins; a batch that is replayed changes nothing. Runs until all input is read."""
+    """Merge each micro-batch into a table: of each key the row that is last in order stays, also if an older one comes later. A batch that is replayed changes nothing. Runs until all input is read."""
 
     def one(batch: DataFrame, epoch: int) -> None:
-        rows = latest(batch, key, order)
-        table.write(upsert(table.read(), rows, key) if table.version() else rows)
+        table.write(latest(table.read().unionByName(batch) if table.version() else batch, key, order))
         if then:
             then()
 
