@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hashes, written
 
-LENGTH, CORE, TRIGGER, RATE, ENTRIES, SLICE, SENT = 400, 200, 8, 5, 1_000_000, 4 << 20, 2_000_000
+LENGTH, CORE, TRIGGER, RATE, ENTRIES, SLICE, SENT, SENT_ROWS = 400, 200, 8, 5, 1_000_000, 4 << 20, 2_000_000, 200_000
 REACH = LENGTH - CORE
 #: Codes of the parse level: position << 2 | code.
 REPEATS, EDGE, SETTLED, ALONE = 0, 1, 2, 3
@@ -294,15 +294,20 @@ def _copies(members: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     members, left = repeats(docs, id=id, text=text)
-    left = left.select(F.col("name").alias("cut"), "n_removed", "n_spans", "kept_sha256")
-    at = members.join(_copies(members), F.col("name") == F.col("copied"), "left").join(left, F.col("name") == F.col("cut"), "left")
-    whole, zero = F.col("copied").isNotNull(), F.lit(0).cast("long")
+    copied = _copies(members)
+    cut = left.select(F.col("name").alias("cut"), "n_removed", "n_spans", "kept_sha256").join(copied, F.col("cut") == F.col("copied"), "left_anti")
+    whole = copied.select(F.col("copied").alias("cut"), F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(_EMPTY).alias("kept_sha256"))
+    cut = written(cut.unionByName(whole), "cut")
+    # sent whole if small, so that the rows of a text with thousands of copies stay where they are; else Spark shuffles and splits skewed keys
+    hint = F.broadcast if cut.count() <= SENT_ROWS else (lambda x: x)
+    at = members.join(hint(cut), F.col("name") == F.col("cut"), "left")
+    same, zero = F.col("cut").isNull(), F.lit(0).cast("long")
     return at.select(
         id,
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        F.when(same, zero).otherwise(F.coalesce("n_removed", "n_bytes")).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
     )
 
 
