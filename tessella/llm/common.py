@@ -161,23 +161,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base modulo 2^64, and of its inverse."""
-    size = max(1 << 16, 1 << (n + 1).bit_length())
-    if not any(s >= n + 1 for s in _POWERS):
-        inverse = pow(_BASE, -1, 1 << 64)
-        both = []
-        for b in (_BASE, inverse):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS.clear()
-        _POWERS[size] = tuple(both)
-    return next(iter(_POWERS.values()))
+    """Powers 0..n at least of an odd base modulo 2^64, and of its inverse. Short tables stay with the worker, long ones don't."""
+    if _POWERS and len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(max(n + 1, 1 << 17), b, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64, out=x))
+    if len(out[0]) == 1 << 17:
+        _POWERS[:] = out
+    return out[0], out[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
