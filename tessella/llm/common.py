@@ -22,7 +22,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,9 +198,13 @@ def hash_strings(flat: pa.Array) -> np.ndarray:
     return span_hash(prefix_hash(data), at[:-1], at[1:])
 
 
-def text_hashes(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    """A 64-bit name for each text, and its bytes."""
+def text_hash(text: Column) -> Column:
+    """A 64-bit name for a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def each_bytes(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text."""
     data, at = raw(texts)
     all_ = data.tobytes()
-    own = [all_[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64), own
+    return [all_[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, hash_strings, mix64, raw, release, ship, strings, table, text_hashes, words_of, written
+from .common import few, hash_strings, mix64, raw, release, ship, strings, table, text_hash, words_of, written
 from .components import components
 
 WORDS, RUN, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 1_000_000, 2_000_000, 4 << 20
@@ -310,23 +310,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """name, text of the wanted classes (name, and the hash of one text of it); a filter goes to the scan if its size allows, else the join alone decides."""
+    """name, text of the wanted classes (name, and the hash of one text of it). A small list is broadcast, so that only wanted texts are shuffled."""
     wanted = written(wanted, "wanted")
-    n = wanted.count()
-    sent = None
-    if n <= SENT_CLASSES:  # 8 bytes each
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select("hash").toArrow().column("hash").to_numpy()))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches, SLICE):
-            t = strings(b.column(0))
-            hashes, _ = text_hashes(t)
-            keep = np.flatnonzero(np.isin(hashes, sent.value)) if sent is not None else np.arange(len(hashes))
-            keep = keep[np.unique(hashes[keep], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), t.take(pa.array(keep)).cast(pa.string())], ["hash", "text"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(find, "hash long, text string").dropDuplicates(["hash"])
-    return written(found.join(wanted, "hash").select("name", "text"), "texts")
+    hint = F.broadcast if wanted.count() <= SENT_CLASSES else (lambda x: x)  # 16 bytes each
+    hashed = docs.select(text_hash(F.col(text)).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return written(hashed.join(hint(wanted), "hash").select("name", "text").dropDuplicates(["name"]), "texts")
 
 
 def _rest(docs: DataFrame, text: str, rest: DataFrame) -> DataFrame:
@@ -355,10 +343,9 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         for b in few(batches, SLICE):
             sets = shingle_sets(strings(b.column(1)))
             n, names = _class(sets)
-            hashes, _ = text_hashes(strings(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), pa.array(hashes)], [id, "n_shingles", "name", "sketch", "hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), b.column(2)], [id, "n_shingles", "name", "sketch", "hash"])
 
-    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, hash long"), "members")
+    members = written(docs.select(id, text, text_hash(F.col(text))).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, hash long"), "members")
     total = members.agg(F.sum("n_shingles")).head()[0] or 0
     parts = max(8, -(-total * 3 // (4 * ENTRIES)))
     sent = docs.select(text).mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hashes, written
+from .common import each_bytes, few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hash, written
 
 LENGTH, CORE, TRIGGER, RATE, ENTRIES, SLICE, SENT, SENT_ROWS = 400, 200, 8, 5, 1_000_000, 4 << 20, 2_000_000, 200_000
 REACH = LENGTH - CORE
@@ -60,13 +60,10 @@ def blocks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return prefix, trigger, first, last, np.flatnonzero(np.cumsum(step[:-1]) > 0)
 
 
-def _eligible(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _eligible(texts: pa.Array, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, bytes and offsets of the distinct texts of at least LENGTH bytes."""
-    names, own = text_hashes(texts)
-    ok = np.array([len(x) >= LENGTH for x in own], bool)
-    if keep is not None:
-        ok &= keep
-    at = np.flatnonzero(ok)
+    own = each_bytes(texts)
+    at = np.flatnonzero(np.array([len(x) >= LENGTH for x in own], bool))
     at = at[np.unique(names[at], return_index=True)[1]]
     parts = [own[i] for i in at.tolist()]
     return names[at], np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
@@ -87,7 +84,7 @@ def _parsed(parts: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
-            names, data, at = _eligible(strings(b.column(0)))
+            names, data, at = _eligible(strings(b.column(0)), b.column(1).to_numpy())
             if not len(data):
                 continue
             prefix, trigger, first, last, lone = blocks(data, at)
@@ -236,31 +233,22 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id].dataType.simpleString()
+    name = text_hash(F.col(text))
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
-            names, own = text_hashes(strings(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(names), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())], [id, "n_bytes", "name", "sha256"])
+            own = each_bytes(strings(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), b.column(2), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())], [id, "n_bytes", "name", "sha256"])
 
-    members = written(docs.select(id, text).mapInArrow(size, f"`{id}` {kind}, n_bytes long, name long, sha256 string"), "members")
+    members = written(docs.select(id, text, name).mapInArrow(size, f"`{id}` {kind}, n_bytes long, name long, sha256 string"), "members")
     total = members.agg(F.sum("n_bytes")).head()[0] or 0
     parts = max(8, -(-total // ((1 << RATE) * ENTRIES)))
-    codes = written(docs.select(text).mapInArrow(_parsed(parts), _P).groupBy("p").applyInArrow(_parse_level, "name long, code long"), "codes")
+    codes = written(docs.select(text, name).mapInArrow(_parsed(parts), _P).groupBy("p").applyInArrow(_parse_level, "name long, code long"), "codes")
     release(spark)
     wanted = codes.groupBy("name").agg(F.collect_list("code").alias("codes"))
-    n = codes.select("name").distinct().count()
-    sent = spark.sparkContext.broadcast(np.sort(codes.select("name").distinct().toArrow().column("name").to_numpy())) if n <= SENT else None
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches, SLICE):
-            t = strings(b.column(0))
-            names, _ = text_hashes(t)
-            keep = np.isin(names, sent.value) if sent is not None else np.ones(len(names), bool)
-            at = np.flatnonzero(keep)
-            at = at[np.unique(names[at], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), t.take(pa.array(at)).cast(pa.string())], ["name", "text"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(fetch, "name long, text string").dropDuplicates(["name"])
+    hit = written(codes.select("name").distinct(), "hit")
+    hint = F.broadcast if hit.count() <= SENT else (lambda x: x)  # 8 bytes each: then only texts with repeats are shuffled
+    found = docs.select(name.alias("name"), F.col(text).alias("text")).join(hint(hit), "name", "left_semi").dropDuplicates(["name"])
     work = written(found.join(wanted, "name"), "work")
     release(spark)
     edges = codes.where((F.col("code") % 4).isin(EDGE, SETTLED)).count()
@@ -274,7 +262,7 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             rows = []
-            _, own = text_hashes(strings(b.column(1)))
+            own = each_bytes(strings(b.column(1)))
             for name, x, c, f, z in zip(b.column(0).to_pylist(), own, *(b.column(j).to_numpy(zero_copy_only=False) for j in (2, 3, 4))):
                 gone, spans = _removal(x, np.asarray(c, np.int64), np.array([f, z], np.int64))
                 if spans:
@@ -317,18 +305,10 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     copied = _copies(members)
     left = left.join(copied, F.col("name") == F.col("copied"), "left_anti").select(F.col("name").alias("_cut_"), F.col("kept").alias("_kept_"))
     left = written(left.unionByName(copied.select(F.col("copied").alias("_cut_"), F.lit(b"").alias("_kept_"))), "left")
-    n = left.count()
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(left.select("_cut_").toArrow().column("_cut_").to_numpy())) if n <= SENT else None
-    column = docs.columns.index(text)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches, SLICE):
-            names, _ = text_hashes(strings(b.column(column)))
-            hit = np.isin(names, sent.value) if sent is not None else np.ones(len(names), bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, mask=~hit)], [*b.schema.names, "_name_"])
-
-    named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField("_name_", T.LongType())]))
-    changed = named.where("_name_ IS NOT NULL").join(left, F.col("_name_") == F.col("_cut_"), "left")
+    names = left.select(F.col("_cut_").alias("_hit_"))
+    hint = F.broadcast if left.count() <= SENT else (lambda x: x)  # 8 bytes each: texts that stay whole are not shuffled
+    named = docs.withColumn("_name_", text_hash(F.col(f"`{text}`"))).join(hint(names), F.col("_name_") == F.col("_hit_"), "left")
+    changed = named.where("_hit_ IS NOT NULL").join(left, F.col("_name_") == F.col("_cut_"), "left")
     fixed = F.when(F.col("_cut_").isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.col("_fixed_"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +318,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     kept = changed.schema["_kept_"]
     changed = changed.mapInArrow(decode, T.StructType([f for f in changed.schema.fields if f.name != kept.name] + [T.StructField("_fixed_", T.StringType())]))
     changed = changed.select(*[fixed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return named.where("_name_ IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)
+    return named.where("_hit_ IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
