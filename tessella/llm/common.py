@@ -16,7 +16,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -106,8 +106,20 @@ def trim() -> None:
         _trim(0)
 
 
-def few(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about limit bytes; what one slice took is given back before the next."""
+#: What clears the caches that outlive a task, by owner.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Keep a cache in this worker until a task of another owner starts."""
+    _held[owner] = clear
+
+
+def few(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about limit bytes; what one slice took is given back before the next, and caches of other owners at the start."""
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+        trim()
     for b in batches:
         per = max(1, b.nbytes // max(1, b.num_rows))
         step = max(1, limit // per)

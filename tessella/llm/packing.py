@@ -77,7 +77,7 @@ def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
         bpe = WordBpe.at(path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        for b in few(batches, 2 << 20):
+        for b in few(batches, 2 << 20, "tokens"):
             ids, at = bpe.encode(strings(b.column(1)))
             n = np.diff(at)
             n_docs = len(n)

@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.at(path)
-        for b in few(batches):
+        for b in few(batches, owner="tokens"):
             t = strings(b.column(1))
             chars = pc.utf8_length(t).to_numpy(zero_copy_only=False)
             huge = np.flatnonzero(chars > chunk)

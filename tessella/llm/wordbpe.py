@@ -12,7 +12,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import words_of
+from .common import hold, words_of
 
 #: Characters for which lower-casing, splitting and byte mapping are done here; a word with any other goes through the whole library.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
@@ -36,6 +36,7 @@ class WordBpe:
     def at(cls, path: str) -> WordBpe:
         if path not in cls._open:
             cls._open[path] = cls(path)
+        hold("tokens", cls._open.clear)
         return cls._open[path]
 
     def __init__(self, path: str):
