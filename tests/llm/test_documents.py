@@ -287,3 +287,58 @@ def test_odd_documents(odd, none):
     once, cut = jaccard.one_of_each(odd), suffixes.without_repeats(odd)
     assert once.columns == odd.columns and cut.columns == odd.columns and cut.count() == odd.count()
     assert sum(r.text is not None and r.text.strip() != "" for r in once.collect()) == 8
+
+
+def exact_log(learnt, grams):
+    """log10 probabilities by context-tree weighting with a dictionary of whole contexts."""
+    counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    steps = [(k, lambda b, k=k: (1 << k) | (b >> (8 - k)), lambda b, k=k: (b >> (7 - k)) & 1) for k in range(8)]
+    for g, n in learnt.items():
+        for _, node, bit in steps:
+            for d in range(ctw.DEPTH + 1):
+                context = tuple((g >> 8 * j) & 255 for j in range(1, d + 1))
+                counts[context, node(g & 255)][bit(g & 255)] += n
+                if d:
+                    children[context[:-1], node(g & 255)].add(context)
+    weights = {}
+
+    def total(context, node):
+        a, b = counts[context, node]
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if (context, node) not in children:
+            weights[context, node] = 1.0
+            return kt
+        deep = sum(total(x, node) for x in children[context, node])
+        both = max(kt, deep) + math.log(math.exp(kt - max(kt, deep)) + math.exp(deep - max(kt, deep))) - math.log(2)
+        weights[context, node] = math.exp(kt - math.log(2) - both)
+        return both
+
+    for _, node in [x for x in list(counts) if x[0] == ()]:
+        total((), node)
+    out = []
+    for g in grams:
+        log = 0.0
+        for _, node, bit in steps:
+            mix, known = 0.5, False
+            for d in range(ctw.DEPTH, -1, -1):
+                at = tuple((g >> 8 * j) & 255 for j in range(1, d + 1)), node(g & 255)
+                if at in weights:
+                    w = weights[at] if known else 1.0
+                    mix, known = w * (counts[at][1] + 0.5) / (sum(counts[at]) + 1) + (1 - w) * mix, True
+            log += math.log10(mix if bit(g & 255) else 1 - mix)
+        out.append(log)
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 20, 4])
+def test_scores_are_those_of_exact_contexts(spark, head):
+    """Every context counts for itself, at any number of contexts; one never seen leaves the prediction to its parent."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 40)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ctw.scores(df, F.col("doc_id") % 5 == 2, head=head).collect()}
+    code, ends = ctw.coded_bytes(pa.array([t for _, t in rows], pa.large_string()))
+    own = [[int(x) for x in code[a:b]] for a, b in zip(ends[:-1], ends[1:])]
+    want = exact_log(collections.Counter(x for i, xs in enumerate(own) if i % 5 != 2 for x in xs), [x for xs in own for x in xs])
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        assert abs(got[i].score - sum(want[a:b])) < 1e-5
