@@ -68,7 +68,7 @@ def collect_garbage(versions: DataFrame, key: str, order: str, mark: int) -> Dat
     return versions.join(last, F.col(key) == F.col("_key"), "left").where(F.col("_last").isNull() | (F.col(order) >= F.col("_last"))).select(*versions.columns)
 
 
-def write_conflicts(mine: DataFrame, versions: DataFrame, key: str, order: str, started: int) -> DataFrame:
+def write_conflicts(mine: DataFrame, versions: DataFrame, key: str, order: str, started: int | Column) -> DataFrame:
     """First committer wins: the keys of a write set that others committed after the snapshot."""
     return mine.select(key).distinct().join(versions.where(F.col(order) > started).select(key).distinct(), key, "left_semi")
 

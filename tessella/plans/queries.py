@@ -481,6 +481,11 @@ def write_conflicts(t):
     return changes.write_conflicts(t.events.where("event_id < 50"), t.events, "user_id", "event_id", 3000)
 
 
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE ts > TIMESTAMP '2024-01-30')")
+def write_conflicts_whole(t):
+    return changes.write_conflicts(t.events.where("event_type = 'signup'"), t.events, "user_id", "ts", F.lit("2024-01-30").cast("timestamp_ntz"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS p_size FROM part WHERE p_size <= 40 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_size > 40")
 def upsert_merge(t):
     base = t.part.select("p_partkey", "p_size")
@@ -675,3 +680,11 @@ def log_append_once(t):
     logs.append_once(log, t.events.where("event_id < 200").select("event_id"), ["event_id"], ["event_id"])
     logs.append_once(log, t.events.where("event_id < 300").select("event_id"), ["event_id"], ["event_id"])
     return log.read().select(c("seq").cast("long").alias("seq"), "event_id")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_type IS DISTINCT FROM 'click', event_id) AS seq, event_id FROM events")
+def log_append_once_whole(t):
+    log = VersionedTable(t.spark, scratch(t.spark, "log"))
+    for rows in (t.events.where("event_type = 'click'"), t.events, t.events):  # the clicks come again, then all
+        logs.append_once(log, rows.select("event_id"), ["event_id"], ["event_id"])
+    return log.read().select(c("seq").cast("long").alias("seq"), "event_id")
