@@ -350,6 +350,16 @@ def join_full(t):
     return equi_join(t.customer.where("c_custkey < 800"), t.orders.where("o_custkey > 500"), "c_custkey", "o_custkey", "full").select("c_custkey", "o_orderkey")
 
 
+@query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c RIGHT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c.c_custkey = o.o_custkey")
+def join_right_whole(t):
+    return equi_join(t.customer.where("c_mktsegment = 'BUILDING'"), t.orders.where("o_orderstatus <> 'F'"), "c_custkey", "o_custkey", "right").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c.c_custkey = o.o_custkey")
+def join_full_whole(t):
+    return equi_join(t.customer.where("c_mktsegment = 'BUILDING'"), t.orders.where("o_orderstatus <> 'F'"), "c_custkey", "o_custkey", "full").select("c_custkey", "o_orderkey")
+
+
 @query("SELECT r_name, n_name, c_custkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey")
 def join_chain3(t):
     out = chain_join([("region", t.region), ("nation", t.nation), ("customer", t.customer)], [("region.r_regionkey", "nation.n_regionkey"), ("customer.c_nationkey", "nation.n_nationkey")])

@@ -25,3 +25,14 @@ def test_write_set_is_not_a_range_of_ids(spark):
     want = {r.user_id for r in events if r.event_type == "signup"} & {r.user_id for r in events if r.late}
     got = [r.user_id for r in relational.QUERIES["write_conflicts_whole"](spark, DATA).collect()]
     assert sorted(got) == sorted(want) and 0 < len(want) < len({r.user_id for r in events})
+
+
+@pytest.mark.parametrize("kind", ["right", "full"])
+def test_outer_joins_reach_all_ids(spark, kind):
+    customers = {r.c_custkey for r in spark.read.parquet(f"{DATA}/customer.parquet").where("c_mktsegment = 'BUILDING'").collect()}
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").where("o_orderstatus <> 'F'").collect()
+    want = [(r.o_custkey if r.o_custkey in customers else None, r.o_orderkey) for r in orders]
+    if kind == "full":
+        want += [(x, None) for x in customers - {r.o_custkey for r in orders}]
+    got = [tuple(r) for r in relational.QUERIES[f"join_{kind}_whole"](spark, DATA).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(a is None for a, _ in got) and any(a is not None and b is not None for a, b in got)
