@@ -88,22 +88,50 @@ def _dig(record: dict, path: str):
     return record
 
 
-def record_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
-    """The fingerprint of a record, and its turns; None if no mapping has it."""
-    mark = fingerprint(record_paths(record))
-    m = MAPPINGS.get(mark)
-    if m is None or m.rows or not isinstance(record, dict):
-        return mark, None
+def _turns(record: dict, m: Mapping) -> list[tuple[str, str]] | None:
+    """The turns of a record in a layout; None if something else than text stands where text is due."""
+    nested = lambda x: bool(x) and isinstance(x, (dict, list))
     turns = []
     for path, role in m.fields:
-        parts = [str(x) for p in path.split("+") if (x := _dig(record, p)) not in (None, "")]
+        values = [_dig(record, p) for p in path.split("+")]
+        if any(map(nested, values)):
+            return None
+        parts = [str(x) for x in values if x not in (None, "")]
         if parts or "+" not in path:
             turns.append((role, "\n\n".join(parts)))
     names = dict(m.names)
-    for x in (_dig(record, m.messages) or []) if m.messages else []:
+    messages = _dig(record, m.messages) if m.messages else []
+    if not isinstance(messages, list):
+        return None
+    for x in messages:
+        if not isinstance(x, dict) or nested(x.get(m.role)) or nested(x.get(m.text)):
+            return None
         role = str(x.get(m.role) or "")
         turns.append((names.get(role, role), str(x.get(m.text) or "")))
-    return mark, turns
+    return turns
+
+
+def record_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
+    """The fingerprint of a record, and its turns; None if no mapping has it.
+
+    Other fields may stand beside a mapping's. Of several mappings whose fields are all there, the one with the most fields is taken,
+    then one with messages, then the first listed; an empty list of messages has all their fields, but none counts.
+    """
+    paths = record_paths(record)
+    mark = fingerprint(paths)
+    if not isinstance(record, dict):
+        return mark, None
+    there = set(paths)
+    fit = []
+    for i, (needed, m) in enumerate(LAYOUTS.items()):
+        own = [p for p in needed if p in there]
+        if not m.rows and all(p in there or m.messages and p.startswith(f"{m.messages}[]") and f"{m.messages}[]" in there for p in needed):
+            fit.append((-len(own), not m.messages, i, m))
+    for *_, m in sorted(fit, key=lambda x: x[:3]):
+        turns = _turns(record, m)
+        if turns is not None:
+            return mark, turns
+    return mark, None
 
 
 TURNS = "array<struct<role:string,text:string>>"

@@ -117,3 +117,22 @@ def test_flac_columns(odd, none):
     blocks = flac.to_pcm(media).where("doc_id = 6").orderBy("sample_offset").collect()
     assert blocks and [r.sample_offset for r in blocks][0] == 0
     assert flac.media_digest(flac.to_flac(none)).collect() == []
+
+
+def test_records_with_more_fields(spark):
+    said, turns = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], [("user", "a"), ("assistant", "b")]
+    cases = [
+        ({"messages": said, "id": 7, "source": "web", "meta": {"k": [1]}}, turns),
+        ({"messages": [said[0] | {"name": "Ann"}, said[1]]}, turns),
+        ({"messages": []}, []),
+        ({"system": "s", "messages": [], "id": 1}, [("system", "s")]),
+        ({"messages": [], "prompt": "a", "response": "b"}, turns),
+        ({"prompt": "a", "response": "b", "system": "s", "id": 1}, [("system", "s"), *turns]),
+        ({"conversations": [{"from": "human", "value": "a", "weight": 1}, {"from": "gpt", "value": "b"}], "id": "x"}, turns),
+        ({"messages": [said[0], {"role": "user", "content": [{"type": "text", "text": "b"}]}]}, None),
+        ({"messages": [said[0], "b"]}, None),
+        ({"id": 1, "title": "t"}, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)], "id int, r string")
+    got = {r.id: r.turns if r.turns is None else [tuple(t) for t in r.turns] for r in chat.canonical_json(df, id="id", record="r").collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
