@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.operators.changes import upsert
 from tessella.operators.constraints import unique_violations
@@ -14,8 +14,17 @@ from tessella.operators.constraints import unique_violations
 from .formats import SourceDef, read_source
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; nothing was changed."""
+
+
 class VersionedTable:
-    """A folder of Parquet versions and a pointer to the current one. Readers see one version whole; a write that fails leaves the pointer."""
+    """A folder of Parquet parts and, for each version, a manifest that lists the parts it consists of.
+
+    A write puts its rows into a part of its own, whose name no other writer has; then it claims the next version, which is one exclusive create, so that
+    of several writers from one version one gets it and the others raise Conflict; then its manifest appears, by a rename. Readers see whole versions only,
+    and a write that fails leaves the table as it was. A writer that dies between claim and manifest blocks further writes until recover().
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -23,44 +32,88 @@ class VersionedTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
     def version(self) -> int:
         """The current version; 0 if there is none."""
-        at = self._path(f"{self.path}/_versions")
-        if not self._fs.exists(at):
-            return 0
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=0)
+        return max((int(x) for x in self._names("_manifests") if x.isdigit()), default=0)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def parts(self, version: int | None = None) -> list[str]:
+        """The parts of a version."""
         n = self.version() if version is None else version
         if not n:
-            raise ValueError(f"{self.path} has no version")
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+            return []
+        stream = self._fs.open(self._path(f"{self.path}/_manifests/{n}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
 
-    def write(self, df: DataFrame) -> int:
-        """Write df as the next version; it counts from the moment its marker is there, which is one atomic create."""
-        n = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        out = self._fs.create(self._path(f"{self.path}/_versions/{n}"), False)  # fails if another writer was first
+    def read(self, version: int | None = None) -> DataFrame:
+        parts = self.parts(version)
+        if not parts:
+            raise ValueError(f"{self.path} has no version")
+        return self.spark.read.parquet(*[f"{self.path}/parts/{p}" for p in parts])
+
+    def write(self, df: DataFrame, base: int | None = None) -> int:
+        """df as the next version after base (the version that df was made from; the current one by default)."""
+        return self._commit(df, [], self.version() if base is None else base)
+
+    def append(self, df: DataFrame, base: int | None = None) -> int:
+        """The rows of base and those of df, of which only the latter are written."""
+        base = self.version() if base is None else base
+        return self._commit(df, self.parts(base), base)
+
+    def _commit(self, df: DataFrame, had: list[str], base: int) -> int:
+        own, n = uuid.uuid4().hex, base + 1
+        try:
+            df.write.parquet(f"{self.path}/parts/{own}")
+            try:
+                self._fs.create(self._path(f"{self.path}/_claims/{n}"), False).close()  # exclusive
+            except Exception as e:
+                raise Conflict(f"{self.path}: version {n} is another writer's") from e
+        except Exception:
+            self._fs.delete(self._path(f"{self.path}/parts/{own}"), True)
+            raise
+        to = self._path(f"{self.path}/_manifests/.{own}")
+        out = self._fs.create(to, False)
+        out.write("\n".join([*had, own]).encode())
         out.close()
+        self._fs.rename(to, self._path(f"{self.path}/_manifests/{n}"))
         return n
 
+    def recover(self) -> None:
+        """Give claims without a manifest free again. Only for tables that nobody writes at the moment."""
+        done = set(self._names("_manifests"))
+        for n in self._names("_claims"):
+            if n not in done:
+                self._fs.delete(self._path(f"{self.path}/_claims/{n}"), False)
+
     def drop(self) -> None:
         self._fs.delete(self._path(self.path), True)
 
     def collect_garbage(self, keep: int = 2) -> None:
-        now = self.version()
-        for s in self._fs.listStatus(self._path(self.path)):
-            name = s.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= now - keep:
-                self._fs.delete(s.getPath(), True)
+        """Delete versions but the last `keep`, and the parts that only they had. Parts that no version has may be a running writer's and stay."""
+        versions = sorted(int(x) for x in self._names("_manifests") if x.isdigit())
+        live = {p for n in versions[-keep:] for p in self.parts(n)}
+        for n in versions[:-keep]:
+            for p in set(self.parts(n)) - live:
+                self._fs.delete(self._path(f"{self.path}/parts/{p}"), True)
+            self._fs.delete(self._path(f"{self.path}/_manifests/{n}"), False)
 
 
-def refresh(table: VersionedTable, source: SourceDef, path: str) -> int:
-    """Upsert a source's rows by key into a table. A cell that does not fit, or a key that comes twice, aborts it all. Rows gone from the source stay."""
-    rows = read_source(table.spark, source, path)
+def _upserted(table: VersionedTable, rows: DataFrame, source: SourceDef) -> int:
     if unique_violations(rows, [source.key]).head(1):
         raise ValueError(f"{source.name}: a key comes twice")
-    return table.write(upsert(table.read(), rows, source.key) if table.version() else rows)
+    base = table.version()
+    return table.write(upsert(table.read(base), rows, source.key) if base else rows, base)
+
+
+def refresh(table: VersionedTable, source: SourceDef, path: str) -> int:
+    """Upsert a source's rows by key into a table. A cell that does not fit, or a key that comes twice, aborts it all. Rows gone from the source stay."""
+    return _upserted(table, read_source(table.spark, source, path), source)
 
 
 def pages(fetch: Callable[[str], dict], first: str, next_url: Callable[[dict], str | None], max_pages: int = 1000, max_bytes: int = 512 << 20) -> Iterator[dict]:
@@ -112,18 +165,12 @@ def cursor_json(path: str, param: str, base: str) -> Callable[[dict], str | None
 
 
 def refresh_pages(table: VersionedTable, source: SourceDef, bodies: Iterator[dict], folder: str) -> int:
-    """Refresh from fetched pages: their bodies go to a folder that executors share, then through the same reader."""
+    """Refresh from fetched pages: each body goes, as it comes, into a file of a folder that executors share; then through the same reader."""
     spark = table.spark
-    rows = [(i, p["body"] if isinstance(p["body"], str) else p["body"].decode()) for i, p in enumerate(bodies)]
-    if source.format == "json":  # one file for each page, whole
-        spark.createDataFrame(rows, "page int, value string").repartition(max(1, len(rows)), "page").select(F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).write.text(folder)
-        whole = spark.read.text(folder)
-        from .formats import _json_cell, _json_path, _typed
-
-        array = F.get_json_object("value", _json_path(source.rows)) if source.rows else F.col("value")
-        got = _typed(whole.select(F.explode(F.from_json(array, "array<string>", {"mode": "FAILFAST"})).alias("_r")), source, _json_cell("_r"))
-        if unique_violations(got, [source.key]).head(1):
-            raise ValueError(f"{source.name}: a key comes twice")
-        return table.write(upsert(table.read(), got, source.key) if table.version() else got)
-    spark.createDataFrame(rows, "page int, value string").select("value").write.text(folder)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, page in enumerate(bodies):  # one page at a time is on the driver
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/page-{i:06d}"), False)
+        out.write(page["body"].encode() if isinstance(page["body"], str) else page["body"])
+        out.close()
     return refresh(table, source, folder)
