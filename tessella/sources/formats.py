@@ -75,16 +75,26 @@ def _text(path: str) -> Column:
     return F.col(path).cast("string")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", header: bool = True, null: str = "") -> DataFrame:
-    """CSV with quotes doubled inside quotes and line feeds inside quotes; empty is null; short and long rows raise."""
-    first = spark.read.csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=True, nullValue=null, inferSchema=False)
-    names = columns or first.columns
+#: What no cell reads like: with it as null mark, bare empty cells are null and quoted ones are not.
+_NO_CELL = "\x01\x02\x01"
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", header: bool = True, null: str = "", quote: str = '"', escape: str = '"', multi_line: bool = False, empty: str | None = None) -> DataFrame:
+    """CSV with quotes doubled inside quotes; short and long rows raise.
+
+    Files are read in splits; with multi_line cells may hold line feeds, and a file is one task. Bare empty cells are null (if that is
+    the null mark), and so are quoted ones unless `empty` says what they are.
+    """
+    how = {"header": header, "sep": sep, "quote": quote, "escape": escape, "multiLine": multi_line}
+    names = columns or spark.read.csv(path, inferSchema=False, **how).columns
     schema = ", ".join(f"`{c}` string" for c in names)
-    return spark.read.csv(path, schema=schema, header=header, sep=sep, quote='"', escape='"', multiLine=True, nullValue=null, emptyValue=null, mode="FAILFAST", enforceSchema=columns is not None)
+    mark = _NO_CELL if empty is not None and null == "" else null
+    return spark.read.csv(path, schema=schema, nullValue=mark, emptyValue=null if empty is None else empty, mode="FAILFAST", enforceSchema=columns is not None, **how)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.csv(path, sep=sep, header=header, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, null: str = "", quote: str = '"', escape: str = '"') -> None:
+    """Null as its mark, empty text as two quotes; cells with quotes, delimiters or line feeds stand in quotes."""
+    df.write.csv(path, sep=sep, header=header, quote=quote, escape=escape, emptyValue=quote * 2, nullValue=null, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -113,6 +123,32 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def row_id(type_id: int, key: Column) -> Column:
+def parquet_bounds(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """low, high and n of a column of numbers, booleans or dates, from the files' footers: no row is read."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """line: each row as a JSON object; nulls stand as null."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def text_table(df: DataFrame, rows: int = 100) -> str:
+    """The first rows as an aligned table, for people: numbers to the right, other values to the left, nulls empty."""
+    got = [[("" if v is None else str(v)) for v in r] for r in df.limit(rows).collect()]
+    wide = [max([len(c), *(len(r[i]) for r in got)]) for i, c in enumerate(df.columns)]
+    right = [f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal") for f in df.schema.fields]
+    line = lambda r: " | ".join(v.rjust(w) if x else v.ljust(w) for v, w, x in zip(r, wide, right)).rstrip()
+    return "\n".join([line(df.columns), "-+-".join("-" * w for w in wide), *map(line, got)])
+
+
+#: What row identities are hashed with; a source that shares identities with another system passes that system's tag.
+ROW_TAG = b"tessella-row\0"
+
+
+def row_id(type_id: int, key: Column, tag: bytes = ROW_TAG) -> Column:
     """A stable 128-bit identity for a source's row: half of the SHA-256 of a tag, the type and the key."""
-    return F.unhex(F.substring(F.sha2(F.concat(F.lit(b"tessella-row\0"), F.lit(type_id.to_bytes(4, "little")), F.encode(key.cast("string"), "UTF-8")), 256), 1, 32))
+    return F.unhex(F.substring(F.sha2(F.concat(F.lit(tag), F.lit(type_id.to_bytes(4, "little")), F.encode(key.cast("string"), "UTF-8")), 256), 1, 32))
