@@ -1,14 +1,11 @@
-"""SHA-256 and HMAC-SHA-256 of columns. SHA-256 is built in; HMAC needs bytewise XOR, which Spark lacks, so it runs on Arrow batches."""
+"""SHA-256 and HMAC-SHA-256 of columns, inside the JVM."""
 
 from __future__ import annotations
 
-import hashlib
-import hmac as _hmac
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+_DIGITS = "0123456789ABCDEF"
 
 
 def canonical(value: Column, kind: str) -> Column:
@@ -24,10 +21,16 @@ def sha256(value: Column, kind: str = "string") -> Column:
     return F.unhex(F.sha2(canonical(value, kind), 256))
 
 
-@F.pandas_udf(T.BinaryType())
-def _hmac_batch(key: pd.Series, message: pd.Series) -> pd.Series:
-    return pd.Series([_hmac.new(bytes(k), bytes(m), hashlib.sha256).digest() for k, m in zip(key, message)])
+def _xored(block: Column, byte: int) -> Column:
+    """A block in hexadecimal, each byte XORed with one: digit by digit."""
+    high, low = ("".join(_DIGITS[i ^ x] for i in range(16)) for x in (byte >> 4, byte & 15))
+    pairs = F.split(F.regexp_replace(block, "(..)(?=.)", "$1 "), " ")
+    return F.unhex(F.array_join(F.transform(pairs, lambda p: F.concat(F.translate(F.substring(p, 1, 1), _DIGITS, high), F.translate(F.substring(p, 2, 1), _DIGITS, low))), ""))
 
 
 def hmac256(key: Column, message: Column, key_kind: str = "string", kind: str = "string") -> Column:
-    return _hmac_batch(canonical(key, key_kind), canonical(message, kind))
+    """HMAC-SHA-256 as its definition has it: keys of over 64 bytes are hashed first, shorter ones padded by zeros."""
+    raw, body = canonical(key, key_kind), canonical(message, kind)
+    block = F.rpad(F.hex(F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)), 128, "0")
+    inner = F.unhex(F.sha2(F.concat(_xored(block, 0x36), body), 256))
+    return F.unhex(F.sha2(F.concat(_xored(block, 0x5C), inner), 256))
