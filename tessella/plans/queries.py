@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.digests import sha256
+from tessella.functions.digests import hmac256, sha256
 from tessella.functions.predicates import compare, in_list, like_plain, pad_trim, truthy
 from tessella.functions.programs import compile_program, run_trigger
 from tessella.operators import changes, constraints, scans
@@ -17,7 +17,7 @@ from tessella.operators.ordering import distinct_rows, sorted_page
 from tessella.plans.engine import Engine
 from tessella.schema import Kind
 from tessella.sources import copying, formats
-from tessella.sources.refresh import VersionedTable, refresh
+from tessella.sources.refresh import VersionedTable, next_json, pages, refresh, refresh_pages
 from tessella.storage import scratch
 from tessella.streaming import logs
 
@@ -123,7 +123,9 @@ def any_array(t):
 
 @query("SELECT n_name FROM nation WHERE false")
 def any_array_empty(t):
-    return scans.select_rows(t.nation, in_list(c("n_nationkey"), []), ["n_name"])
+    e = Engine(t.spark)
+    e.register("nation", t.nation)
+    return e.sql("SELECT n_name FROM nation WHERE n_nationkey = ANY (ARRAY[])")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#00000000%'")
@@ -259,7 +261,7 @@ def agg_max(t):
 
 @query("SELECT round(avg(l_quantity), 6) AS q FROM lineitem")
 def agg_avg(t):
-    return t.lineitem.agg(F.round(F.avg("l_quantity"), 6).alias("q"))
+    return aggregate(t.lineitem, [Agg("avg", "l_quantity", "q")]).select(F.round("q", 6).alias("q"))
 
 
 @query("SELECT CAST(CAST(sum(p_size) AS BIGINT) // count(p_size) AS BIGINT) AS q FROM part")
@@ -281,17 +283,11 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02' GROUP BY l_returnflag,
 @query(_Q1)
 def group_multi_agg(t):
     price = c("l_extendedprice") * (1 - c("l_discount"))
-    rows = t.lineitem.where(c("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        cents(F.sum("l_quantity")).alias("sum_qty"),
-        cents(F.sum("l_extendedprice")).alias("sum_base_price"),
-        cents(F.sum(price)).alias("sum_disc_price"),
-        cents(F.sum(price * (1 + c("l_tax")))).alias("sum_charge"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
-        F.round(F.avg("l_extendedprice"), 6).alias("avg_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-        F.count(F.lit(1)).alias("count_order"),
-    )
+    sums = {"sum_qty": c("l_quantity"), "sum_base_price": c("l_extendedprice"), "sum_disc_price": price, "sum_charge": price * (1 + c("l_tax"))}
+    means = {"avg_qty": "l_quantity", "avg_price": "l_extendedprice", "avg_disc": "l_discount"}
+    aggs = [Agg("sum", x, n) for n, x in sums.items()] + [Agg("avg", x, n) for n, x in means.items()] + [Agg("count", None, "count_order")]
+    out = group_aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], aggs, condition=c("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
+    return out.select("l_returnflag", "l_linestatus", *[cents(c(n)).alias(n) for n in sums], *[F.round(n, 6).alias(n) for n in means], "count_order")
 
 
 @query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
@@ -340,23 +336,13 @@ def join_left(t):
     return equi_join(t.documents.select("doc_id"), t.labels.withColumnRenamed("doc_id", "l_id"), "doc_id", "l_id", "left").select("doc_id", "quality")
 
 
-@query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 800) c RIGHT JOIN (SELECT * FROM orders WHERE o_custkey > 500) o ON c.c_custkey = o.o_custkey")
-def join_right(t):
-    return equi_join(t.customer.where("c_custkey < 800"), t.orders.where("o_custkey > 500"), "c_custkey", "o_custkey", "right").select("c_custkey", "o_orderkey")
-
-
-@query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 800) c FULL JOIN (SELECT * FROM orders WHERE o_custkey > 500) o ON c.c_custkey = o.o_custkey")
-def join_full(t):
-    return equi_join(t.customer.where("c_custkey < 800"), t.orders.where("o_custkey > 500"), "c_custkey", "o_custkey", "full").select("c_custkey", "o_orderkey")
-
-
 @query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c RIGHT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c.c_custkey = o.o_custkey")
-def join_right_whole(t):
+def join_right(t):
     return equi_join(t.customer.where("c_mktsegment = 'BUILDING'"), t.orders.where("o_orderstatus <> 'F'"), "c_custkey", "o_custkey", "right").select("c_custkey", "o_orderkey")
 
 
 @query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c.c_custkey = o.o_custkey")
-def join_full_whole(t):
+def join_full(t):
     return equi_join(t.customer.where("c_mktsegment = 'BUILDING'"), t.orders.where("o_orderstatus <> 'F'"), "c_custkey", "o_custkey", "full").select("c_custkey", "o_orderkey")
 
 
@@ -400,8 +386,13 @@ def join_group_having(t):
 
 @query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE r_name = 'ASIA' GROUP BY n_name")
 def join_five_tables(t):
-    out = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey"))
-    return out.where(c("r_name") == "ASIA").groupBy("n_name").agg(cents(F.sum(c("l_extendedprice") * (1 - c("l_discount")))).alias("revenue"))
+    asia = t.region.where("r_name = 'ASIA'")
+    out = chain_join(
+        [("region", asia), ("nation", t.nation), ("customer", t.customer), ("orders", t.orders), ("lineitem", t.lineitem)],
+        [("region.r_regionkey", "nation.n_regionkey"), ("nation.n_nationkey", "customer.c_nationkey"), ("customer.c_custkey", "orders.o_custkey"), ("orders.o_orderkey", "lineitem.l_orderkey")],
+    )
+    revenue = c("`lineitem.l_extendedprice`") * (1 - c("`lineitem.l_discount`"))
+    return group_aggregate(out.select(c("`nation.n_name`").alias("n_name"), revenue.alias("r")), ["n_name"], [Agg("sum", "r", "revenue")]).select("n_name", cents(c("revenue")).alias("revenue"))
 
 
 # subqueries and sets
@@ -486,13 +477,8 @@ def version_gc(t):
     return changes.collect_garbage(t.events.select("user_id", "event_id"), "user_id", "event_id", 4000).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_id < 50 AND user_id IN (SELECT user_id FROM events WHERE event_id > 3000)")
-def write_conflicts(t):
-    return changes.write_conflicts(t.events.where("event_id < 50"), t.events, "user_id", "event_id", 3000)
-
-
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE ts > TIMESTAMP '2024-01-30')")
-def write_conflicts_whole(t):
+def write_conflicts(t):
     return changes.write_conflicts(t.events.where("event_type = 'signup'"), t.events, "user_id", "ts", F.lit("2024-01-30").cast("timestamp_ntz"))
 
 
@@ -659,6 +645,27 @@ def copy_csv_round_trip(t):
     return copying.read_copy_csv(t.spark, path, "doc_id long, text string")
 
 
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' WHEN lang = 'es' THEN NULL ELSE '\\N,' || lang END AS a, CAST(n_chars AS DECIMAL(12, 2)) AS b, n_chars % 2 = 0 AS f FROM documents")
+def copy_csv_awkward(t):
+    copying.write_copy_csv(_awkward(t), path := scratch(t.spark, "copy"), copying.CopyOptions.of({"FORMAT": "csv", "DELIMITER": "|", "HEADER": "true", "QUOTE": "~"}))
+    return copying.read_copy_csv(t.spark, path, _AWKWARD, copying.CopyOptions.of({"FORMAT": "csv", "DELIMITER": "|", "HEADER": "true", "QUOTE": "~"}), multi_line=False)
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' WHEN lang = 'es' THEN NULL ELSE '\\N,' || lang END AS a, CAST(n_chars AS DECIMAL(12, 2)) AS b, n_chars % 2 = 0 AS f FROM documents")
+def copy_text_awkward(t):
+    options = copying.CopyOptions.of({"DELIMITER": ",", "NULL": "nothing", "HEADER": "true"})
+    copying.write_copy_text(_awkward(t), path := scratch(t.spark, "copy"), options)
+    return copying.read_copy_text(t.spark, path, _AWKWARD, options)
+
+
+_AWKWARD = "doc_id long, a string, b decimal(12,2), f boolean"
+
+
+def _awkward(t) -> DataFrame:
+    a = F.when(c("lang") == "en", "").when(c("lang") == "es", None).otherwise(F.concat(F.lit("\\N,"), "lang"))
+    return t.documents.select("doc_id", a.alias("a"), c("n_chars").cast("decimal(12,2)").alias("b"), (c("n_chars") % 2 == 0).alias("f"))
+
+
 @query("SELECT event_id, user_id, event_type, NULLIF(event_type, 'click') AS other FROM events")
 def copy_binary_round_trip(t):
     rows = t.events.select("event_id", "user_id", "event_type", F.nullif(c("event_type"), F.lit("click")).alias("other"))
@@ -681,20 +688,247 @@ def stream_refresh(t):
     managed = VersionedTable(t.spark, scratch(t.spark, "table"))
     # one file a trigger: later batches may hold older events, so the newest of both sides stays
     logs.refresh_stream(logs.read_stream(t.spark, path, "user_id long, event_id long"), managed, "user_id", "event_id", scratch(t.spark, "progress")).awaitTermination()
-    return managed.read()
-
-
-@query("SELECT row_number() OVER (ORDER BY event_id) AS seq, event_id FROM events WHERE event_id < 300")
-def log_append_once(t):
-    log = VersionedTable(t.spark, scratch(t.spark, "log"))
-    logs.append_once(log, t.events.where("event_id < 200").select("event_id"), ["event_id"], ["event_id"])
-    logs.append_once(log, t.events.where("event_id < 300").select("event_id"), ["event_id"], ["event_id"])
-    return log.read().select(c("seq").cast("long").alias("seq"), "event_id")
+    return logs.merged(managed, "user_id", "event_id")
 
 
 @query("SELECT row_number() OVER (ORDER BY event_type IS DISTINCT FROM 'click', event_id) AS seq, event_id FROM events")
-def log_append_once_whole(t):
+def log_append_once(t):
     log = VersionedTable(t.spark, scratch(t.spark, "log"))
     for rows in (t.events.where("event_type = 'click'"), t.events, t.events):  # the clicks come again, then all
         logs.append_once(log, rows.select("event_id"), ["event_id"], ["event_id"])
     return log.read().select(c("seq").cast("long").alias("seq"), "event_id")
+
+
+# statements: each changes or loads a table of an engine, and is read back
+
+
+def _engine(t, *names: str) -> Engine:
+    e = Engine(t.spark)
+    for n in names:
+        e.register(n, getattr(t, n))
+    return e
+
+
+@query("SELECT 900 + r_regionkey AS n_nationkey, 'it''s \"' || lower(r_name) || '\" $1' AS n_name, r_regionkey AS n_regionkey FROM region")
+def sql_insert_returning(t):
+    e = _engine(t, "nation", "region")
+    return e.sql("INSERT INTO nation (n_nationkey, n_name, n_regionkey) SELECT $1 + r_regionkey, 'it''s \"' || lower(r_name) || '\" $1', r_regionkey FROM region -- all of them\nRETURNING *;", [900])
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'x' || n_name ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 4")
+def sql_update_delete(t):
+    e = _engine(t, "nation")
+    e.sql("UPDATE nation SET n_name = concat($1, n_name) WHERE n_regionkey = 2", ["x"])
+    e.sql('DELETE FROM "nation" WHERE "n_regionkey" = 4')
+    return e.sql('SELECT n_nationkey, "n_name" FROM nation')
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name LIKE 'A%' OR n_name LIKE 'C%' OR n_regionkey > 3")
+def sql_delete_returning(t):
+    return _engine(t, "nation").sql("DELETE FROM nation WHERE n_name LIKE 'A%' OR n_name LIKE 'C%' OR n_regionkey > 3 RETURNING n_nationkey, n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 AND n_name <> 'x' AND 'costs $1' <> 'a = ANY (ARRAY[1])'")
+def sql_quoted_names(t):
+    return _engine(t, "nation").sql("SELECT \"n_nationkey\", \"n_name\" FROM nation WHERE n_regionkey = $1 AND n_name <> 'x' AND 'costs $1' <> 'a = ANY (ARRAY[1])' /* '\" */", [1])
+
+
+@query("SELECT n_nationkey, 'costs $1 \\n' AS a, 'it''s' AS b FROM nation WHERE n_nationkey = 7")
+def sql_string_compare(t):
+    return _engine(t, "nation").sql("SELECT n_nationkey, 'costs $1 \\n' AS a, 'it''s' AS b FROM nation WHERE n_nationkey = '7'")
+
+
+@query("SELECT p_partkey, p_size::BIGINT * 2 AS a, p_size::VARCHAR || '!' AS b, (p_size % 2)::BOOLEAN AS c FROM part")
+def sql_casts(t):
+    return _engine(t, "part").sql("SELECT p_partkey, p_size::bigint * 2 AS a, p_size::string || '!' AS b, (p_size % 2)::boolean AS c FROM part")
+
+
+@query("SELECT n_nationkey AS id, n_name AS label, 'none' AS note, n_nationkey + 1 AS serial FROM nation")
+def sql_ddl(t):
+    e = _engine(t, "nation")
+    e.sql("CREATE TABLE place (id INT PRIMARY KEY, serial BIGSERIAL, name VARCHAR(40) NOT NULL, spare INT, CHECK (id >= 0))")
+    e.sql("INSERT INTO place (id, name) SELECT n_nationkey, n_name FROM nation")
+    e.sql("ALTER TABLE place ADD COLUMN note VARCHAR(8) DEFAULT 'none'")
+    e.sql("ALTER TABLE place RENAME COLUMN name TO label")
+    e.sql("ALTER TABLE place DROP COLUMN spare")
+    e.sql("CREATE UNIQUE INDEX by_label ON place (label)")
+    return e.sql("SELECT id, label, note, serial FROM place").select("id", "label", "note", c("serial").cast("int").alias("serial"))
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 3 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def sql_delete_set_null(t):
+    e = Engine(t.spark)
+    e.sql("CREATE TABLE area (r_regionkey INT PRIMARY KEY)")
+    e.sql("CREATE TABLE place (n_nationkey INT PRIMARY KEY, n_name VARCHAR(40), n_regionkey INT REFERENCES area(r_regionkey) ON DELETE SET NULL)")
+    e.add("area", t.region.select("r_regionkey"))
+    e.add("place", t.nation.select("n_nationkey", "n_name", "n_regionkey"))
+    e.sql("DELETE FROM area WHERE r_regionkey = 3")
+    return e.sql("SELECT * FROM place")
+
+
+@query("SELECT * FROM (VALUES ('nation', 1, 'n_nationkey'), ('nation', 2, 'n_name'), ('nation', 3, 'n_regionkey'), ('region', 1, 'r_regionkey'), ('region', 2, 'r_name')) AS v(table_name, position, column_name)")
+def sql_catalog(t):
+    return _engine(t, "nation", "region").catalog().select("table_name", "position", "column_name")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
+def sql_external_source(t):
+    path, e = scratch(t.spark, "feed"), Engine(t.spark)
+    line = lambda name: F.to_json(F.struct(c("n_nationkey").alias("k"), F.struct(name.alias("name")).alias("deep")))
+    t.nation.select(line(c("n_name"))).write.text(path)
+    e.sql(f"CREATE EXTERNAL SOURCE place (n_nationkey INT FROM 'k', n_name VARCHAR(40) FROM 'deep.name') FROM '{path}' FORMAT ndjson KEY n_nationkey")
+    e.sql("REFRESH place")
+    t.nation.where("n_regionkey = 0").select(line(F.lower("n_name"))).write.mode("overwrite").text(path)
+    e.sql("REFRESH place")  # rows gone from the source stay
+    return e.sql("SELECT * FROM place")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def sql_copy(t):
+    path, e = scratch(t.spark, "copy"), _engine(t, "orders")
+    e.sql("CREATE TABLE again (o_orderkey BIGINT, o_orderstatus VARCHAR(4), o_orderpriority VARCHAR(20), spare INT)")
+    e.sql(f"COPY orders (o_orderkey, o_orderstatus, o_orderpriority) TO '{path}' WITH (FORMAT csv, DELIMITER ';', HEADER)")
+    e.sql(f"COPY again (o_orderkey, o_orderstatus, o_orderpriority) FROM '{path}' WITH (FORMAT csv, DELIMITER ';', HEADER)")
+    return e.sql("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM again WHERE spare IS NULL")
+
+
+# more of joins, constraints, digests, sources and streams
+
+
+@query("SELECT DISTINCT o_orderpriority FROM orders ORDER BY o_orderpriority LIMIT 3")
+def distinct_limit(t):
+    return sorted_page(distinct_rows(t.orders, ["o_orderpriority"]), "o_orderpriority", "o_orderpriority", limit=3)
+
+
+@query("SELECT c_mktsegment, count(*) AS n, count(c_custkey) AS with_customer FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
+def join_right_group(t):
+    out = equi_join(t.customer.where("c_acctbal > 0"), t.orders, "c_custkey", "o_custkey", "right")
+    return group_aggregate(out, ["c_mktsegment"], [Agg("count", None, "n"), Agg("count", "c_custkey", "with_customer")])
+
+
+@query("SELECT c_mktsegment, count(*) AS n, count(o_orderkey) AS with_order FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
+def join_full_group(t):
+    out = equi_join(t.customer.where("c_acctbal > 0"), t.orders, "c_custkey", "o_custkey", "full")
+    return group_aggregate(out, ["c_mktsegment"], [Agg("count", None, "n"), Agg("count", "o_orderkey", "with_order")])
+
+
+@query("SELECT a.n_nationkey AS l, b.n_nationkey AS r FROM (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation) a LEFT JOIN (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation) b ON a.k = b.k")
+def join_null_keys(t):
+    side = lambda k, n: t.nation.select(c("n_nationkey").alias(n), F.nullif(c("n_regionkey"), F.lit(2)).alias(k))
+    return equi_join(side("k", "l"), side("j", "r"), "k", "j", "left").select("l", "r")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 4 ELSE n_regionkey END AS n_regionkey FROM nation")
+def fk_set_default(t):
+    return constraints.on_delete(t.nation.select("n_nationkey", "n_regionkey"), "n_regionkey", t.region.where("r_regionkey = 1"), "r_regionkey", "set_default", 4)
+
+
+def _unreferenced(t) -> DataFrame:
+    return t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def fk_restrict(t):
+    return constraints.on_delete(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", _unreferenced(t), "o_orderkey", "restrict")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def fk_no_action(t):
+    return constraints.on_delete(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", _unreferenced(t), "o_orderkey", "no_action")
+
+
+@query("SELECT doc_id FROM documents WHERE NULLIF(lang, 'en') IS NULL")
+def null_violations(t):
+    return constraints.null_violations(t.documents.select("doc_id", F.nullif(c("lang"), F.lit("en")).alias("lang")), "lang").select("doc_id")
+
+
+def _pads(key: bytes) -> tuple[str, str]:
+    block = key.ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block).hex(), bytes(b ^ 0x5C for b in block).hex()
+
+
+_INNER, _OUTER = _pads(b"a key")
+
+
+@query(f"SELECT doc_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(text)))) AS digest FROM documents")
+def hmac_column(t):
+    return t.documents.select("doc_id", F.lower(F.hex(hmac256(F.lit("a key"), c("text")))).alias("digest"))
+
+
+@query("SELECT n_nationkey, substr(sha256(unhex('74657373656c6c612d726f770007000000') || encode(n_nationkey::VARCHAR)), 1, 32) AS id FROM nation")
+def source_row_id(t):
+    return t.nation.select("n_nationkey", F.lower(F.hex(formats.row_id(7, c("n_nationkey")))).alias("id"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_json_array(t):
+    rows = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(*t.nation.columns))).alias("value")).select("value")
+    rows.repartition(5).write.text(path := scratch(t.spark, "json"))  # several files, each a whole array
+    return formats.read_source(t.spark, _source("nation", _NATION, "json", "n_nationkey"), path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_pages(t):
+    """Pages by region, each naming the next; the fetch stands in for a web service."""
+    body = lambda r: t.nation.where(c("n_regionkey") == r).agg(F.to_json(F.struct(F.collect_list(F.struct(*t.nation.columns)).alias("rows"), F.lit(f"/p{r + 1}" if r < 4 else "").alias("next")))).head()[0]
+    managed = VersionedTable(t.spark, scratch(t.spark, "table"))
+    found = pages(lambda url: {"url": url, "body": body(int(url[-1]))}, "http://site/p0", next_json("next"))
+    refresh_pages(managed, _source("nation", _NATION, "json", "n_nationkey", "rows"), found, scratch(t.spark, "pages"))
+    return managed.read()
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
+def source_parquet_int96(t):
+    own = t.spark.newSession()
+    own.conf.set("spark.sql.parquet.outputTimestampType", "INT96")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.read.parquet(f"{t.dir}/events.parquet").select("event_id", c("ts").cast("timestamp").alias("ts")).write.parquet(path := scratch(t.spark, "int96"))
+    return formats.read_parquet(own, path).select("event_id", F.unix_micros("ts").alias("us"))
+
+
+@query("SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(9, 2)) AS a, CAST(s_acctbal AS DECIMAL(18, 2)) AS b, CAST(s_acctbal AS DECIMAL(30, 2)) AS c FROM supplier")
+def source_parquet_decimal(t):
+    rows = t.supplier.select("s_suppkey", *[c("s_acctbal").cast(f"decimal({n},2)").alias(x) for x, n in (("a", 9), ("b", 18), ("c", 30))])
+    rows.write.parquet(path := scratch(t.spark, "decimal"))  # 32 and 64 bits, and bytes
+    return formats.read_parquet(t.spark, path)
+
+
+@query("SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n FROM orders")
+def agg_from_metadata(t):
+    return formats.parquet_bounds(t.spark, f"{t.dir}/orders.parquet", "o_orderkey")
+
+
+@query("SELECT to_json({n_nationkey: n_nationkey, n_name: n_name})::VARCHAR AS line FROM nation")
+def render_json(t):
+    return formats.json_lines(t.nation.select("n_nationkey", "n_name"))
+
+
+@query("SELECT DISTINCT event_id, user_id FROM events")
+def stream_once(t):
+    rows = t.events.select("event_id", "user_id", "ts")
+    rows.union(rows).repartition(3).write.parquet(path := scratch(t.spark, "in"))
+    stream = logs.read_stream(t.spark, path, "event_id long, user_id long, ts timestamp_ntz").withColumn("ts", c("ts").cast("timestamp"))
+    unique = logs.once(stream, ["event_id"], "ts", "10000 days")
+    out = unique.writeStream.format("parquet").option("checkpointLocation", scratch(t.spark, "progress")).option("path", to := scratch(t.spark, "out")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    return t.spark.read.parquet(to).select("event_id", "user_id")
+
+
+@query("SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_counts(t):
+    t.events.select("event_type", "ts").repartition(3).write.parquet(path := scratch(t.spark, "in"))
+    stream = logs.read_stream(t.spark, path, "event_type string, ts timestamp_ntz").withColumn("ts", c("ts").cast("timestamp"))
+    counts = logs.windowed_counts(stream, "ts", "1 hour", "10000 days", "event_type")
+    managed = VersionedTable(t.spark, scratch(t.spark, "table"))
+    one = lambda batch, epoch: managed.write(batch.select("event_type", F.unix_timestamp("window.start").alias("hour"), "n")) and None
+    counts.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", scratch(t.spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return managed.read()
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_copy(t):
+    """COPY text as it arrives, each micro-batch all or nothing."""
+    copying.write_copy_text(t.events.select("event_id", "event_type").repartition(3), path := scratch(t.spark, "copy"))
+    managed = VersionedTable(t.spark, scratch(t.spark, "table"))
+    logs.copy_stream(t.spark, path, "event_id long, event_type string", managed, scratch(t.spark, "progress"), per_trigger=1).awaitTermination()
+    return managed.read()
