@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import udfs
 from tessella.functions.digests import hmac256, sha256
 from tessella.functions.predicates import compare, in_list, like_plain, pad_trim, truthy
 from tessella.functions.programs import compile_program, run_trigger
@@ -932,3 +934,79 @@ def stream_copy(t):
     managed = VersionedTable(t.spark, scratch(t.spark, "table"))
     logs.copy_stream(t.spark, path, "event_id long, event_type string", managed, scratch(t.spark, "progress"), per_trigger=1).awaitTermination()
     return managed.read()
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id = 17")
+def get_blob(t):
+    return scans.get_by_id(t.documents.select("doc_id", "text"), "doc_id", 17)
+
+
+@query("SELECT count(*) AS n, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS fit FROM (SELECT o_orderstatus FROM orders WHERE o_orderstatus = 'O' LIMIT 70)")
+def select_limit(t):
+    page = scans.select_rows(t.orders, c("o_orderstatus") == "O", ["o_orderstatus"], 70)
+    return page.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(c("o_orderstatus") == "O", 1)).alias("fit"))
+
+
+@query("SELECT 'gzip' AS codec, count(*) AS n, sum(l_orderkey)::BIGINT AS s FROM lineitem UNION ALL SELECT 'lz4raw', count(*), sum(l_orderkey)::BIGINT FROM lineitem UNION ALL SELECT 'snappy', count(*), sum(l_orderkey)::BIGINT FROM lineitem UNION ALL SELECT 'uncompressed', count(*), sum(l_orderkey)::BIGINT FROM lineitem")
+def source_parquet_codecs(t):
+    out = None
+    for codec in ("gzip", "lz4raw", "snappy", "uncompressed"):
+        t.lineitem.select("l_orderkey", "l_returnflag").write.option("compression", "lz4_raw" if codec == "lz4raw" else codec).parquet(path := scratch(t.spark, codec))
+        one = formats.read_parquet(t.spark, path, ["l_orderkey"]).agg(F.lit(codec).alias("codec"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def source_parquet_brotli(t):
+    def packed(batches):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            pq.write_table(pa.Table.from_batches([b]), out := io.BytesIO(), compression="brotli", data_page_version="2.0")
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["content"])
+
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    copying.write_files(rows.mapInArrow(packed, "content binary"), path := scratch(t.spark, "brotli"))
+    return formats.read_parquet_brotli(t.spark, path, f"o_orderkey {rows.schema[0].dataType.simpleString()}, o_orderpriority string")
+
+
+@query("SELECT n_nationkey, to_json({name: n_name, region: [n_regionkey, n_regionkey + 1]})::VARCHAR AS deep, to_json([{k: n_name}])::VARCHAR AS list FROM nation")
+def source_parquet_nested(t):
+    deep = F.struct(c("n_name").alias("name"), F.array(c("n_regionkey"), c("n_regionkey") + 1).alias("region"))
+    t.nation.select("n_nationkey", deep.alias("deep"), F.array(F.struct(c("n_name").alias("k"))).alias("list")).write.parquet(path := scratch(t.spark, "nested"))
+    return formats.flattened(formats.read_parquet(t.spark, path))
+
+
+@query("SELECT o_orderkey, length(o_orderpriority) * 2 AS twice, least(o_custkey, 100) AS low FROM orders")
+def udf_scalar(t):
+    def twice(x: pd.Series) -> pd.Series:
+        return x.str.len() * 2
+
+    double = udfs.scalar(t.spark, "twice_the_length", twice, "bigint")
+    low = udfs.scalar_rows(t.spark, "at_most", lambda x, y: min(x, y), "bigint")
+    return t.orders.select("o_orderkey", double("o_orderpriority").alias("twice"), low(c("o_custkey").cast("long"), F.lit(100)).alias("low"))
+
+
+@query("SELECT n_regionkey, max(n_nationkey) - min(n_nationkey) AS spread FROM nation GROUP BY n_regionkey")
+def udf_aggregate(t):
+    def spread(x: pd.Series) -> int:
+        return int(x.max() - x.min())
+
+    made = udfs.aggregate(t.spark, "spread_of", spread, "bigint")
+    return t.nation.groupBy("n_regionkey").agg(made(c("n_nationkey").cast("long")).alias("spread"))
+
+
+@query("SELECT r_regionkey, i FROM region, unnest(range(0, r_regionkey)) AS u(i)")
+def udf_table(t):
+    class Count:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    udfs.table(t.spark, "count_below", Count, "i bigint")
+    t.region.createOrReplaceTempView("regions_to_count")
+    return t.spark.sql("SELECT r_regionkey, i FROM regions_to_count, LATERAL count_below(CAST(r_regionkey AS INT))")

@@ -275,12 +275,12 @@ def copy_from(spark: SparkSession, path: str, schema: str, options: CopyOptions)
 def copy_to(df: DataFrame, path: str, options: CopyOptions) -> None:
     if options.format == "binary":
         # Spark has no writer of bare bytes: the driver writes them, one of some megabytes at a time
-        _write_files(to_copy_binary(df), path)
+        write_files(to_copy_binary(df), path)
     else:
         (write_copy_csv if options.format == "csv" else write_copy_text)(df, path, options)
 
 
-def _write_files(files: DataFrame, path: str) -> None:
+def write_files(files: DataFrame, path: str) -> None:
     """Each binary of a one-column table as a file of the folder, by Hadoop's own file systems, so in any store that Spark writes to."""
     spark = files.sparkSession
     jvm = spark._jvm
