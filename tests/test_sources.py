@@ -64,6 +64,15 @@ def test_parquet_codecs(spark, tmp_path, codec):
     assert sorted(map(tuple, read.collect())) == sorted(cells)
 
 
+def test_csv_rows_of_another_length_raise(spark, tmp_path):
+    for i, text in enumerate(("a,b\n1\n", "a,b\n1,2,3\n")):
+        (tmp_path / f"{i}.csv").write_text(text)
+        with pytest.raises(Exception):
+            formats.read_csv(spark, str(tmp_path / f"{i}.csv")).collect()
+    (tmp_path / "cr.csv").write_bytes(b"a,b\r\n1,2\r\n3,\r\n")
+    assert sorted(map(tuple, formats.read_csv(spark, str(tmp_path / "cr.csv")).collect())) == [("1", "2"), ("3", None)]
+
+
 def test_parquet_bounds(spark, tmp_path):
     pq.write_table(pa.table({"x": [5, -9, None, 40], "s": ["a"] * 4}), tmp_path / "a.parquet")
     pq.write_table(pa.table({"x": [41, 3], "s": ["b"] * 2}), tmp_path / "b.parquet")
