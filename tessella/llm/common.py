@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 
 #: Words, for Java, Python and RE2 patterns alike: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+#: Texts with more copies than this stand once where keys are emitted.
+COPIES = 8
 
 _shipped: set[str] = set()
 try:
@@ -36,7 +40,13 @@ except (AttributeError, OSError):  # another C library
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    Unless the application sets a size itself, Arrow batches stop at BATCH bytes: 10,000 rows of long texts would take
+    tens of megabytes in the JVM and again in each worker.
+    """
+    if BATCH_KEY not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(BATCH_KEY, str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -54,11 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where that is unset and everything runs in one process."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         had = sc._jsc.sc().getCheckpointDir()
+        if not had.isDefined() and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = had.get() if had.isDefined() else tempfile.mkdtemp(prefix="tessella-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -90,6 +102,33 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 and so on: no name of the table's can clash with one that an operator adds."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, column: str) -> str:
+    """What numbered() calls a column: as Spark resolves names, the exact one first, then without regard to case."""
+    names = docs.columns
+    return f"c{names.index(column) if column in names else [x.lower() for x in names].index(column.lower())}"
+
+
+def each_once(docs: DataFrame, text: str, hashes: DataFrame) -> DataFrame:
+    """text and hash (its text_hash) of docs, without most repeats: a text with over COPIES copies comes once.
+
+    hashes has the hash of every row. Names of such texts number at most rows / COPIES; few are sent, more are joined.
+    """
+    rows = docs.select(F.col(text).alias("text"), text_hash(F.col(text)).alias("hash"))
+    hot = written(hashes.groupBy(F.col("hash").alias("hot")).count().where(F.col("count") > COPIES).select("hot"), "hot")
+    n = hot.count()
+    if not n:
+        return rows
+    hint = F.broadcast if n <= 1 << 20 else (lambda x: x)  # 8 bytes each
+    rare = rows.join(hint(hot), F.col("hash") == F.col("hot"), "left_anti")
+    once = rows.join(hint(hot), F.col("hash") == F.col("hot"), "left_semi").groupBy("hash").agg(F.first("text", ignorenulls=True).alias("text"))
+    return rare.unionByName(once)
+
+
 def crc_mod(column: Column, mod: int) -> Column:
     """crc32 of the column as text, modulo mod; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

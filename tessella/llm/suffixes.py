@@ -4,16 +4,17 @@ Parsing. A rolling hash over TRIGGER bytes cuts texts into phrases at the same p
 strings of LENGTH bytes so have the same triggers at the same offsets, and a string is known by its phrase suffix (from its start to
 its first trigger) and by the parse that follows. All string starts that share a first trigger are one block.
 
-Corpus order. The suffixes that matter reach LENGTH bytes far, so equality of that prefix is all of the corpus's
-suffix order that is needed, and hashes of bounded context stand in for suffix ranks: keys that are equal stand together after a sort.
-* Parse level: a block's core (the CORE bytes from its trigger on, which all its strings hold) is sorted with all other cores. A core seen once settles
-  its block: nothing repeats. Where also the whole block (all bytes its strings reach) is seen again, all its strings repeat.
-* Dictionary level: blocks that share only the core, at the edges of a repeat, take part with each of their phrase suffixes: offset and
-  hash of each string are sorted within the core's reducer, with one block of each class that is settled.
-* Strings whose first trigger is over LENGTH - CORE bytes away are sorted one by one.
+* Parse, first: a block's core (the CORE bytes from its trigger on, which all its strings hold) is compared with all other cores by hashes. A core
+  seen once settles its block: nothing repeats. Where also the whole block (all bytes its strings reach) is seen again, all its strings repeat.
+* Corpus order: blocks that share only the core, at the edges of a repeat, meet with their bytes, and one block of each class that is settled
+  with them. The suffix array of the parse (what follows each trigger, in lexicographic order, with common prefixes) and that of the
+  dictionary (the phrases, in order of their suffixes) combine into the order of all the strings: under each phrase
+  suffix, the strings stand in the order of the parse that follows, and one repeats if it shares LENGTH bytes with its neighbour.
+* Strings whose first trigger is over LENGTH - CORE bytes away are compared one by one, by hashes.
 
 Equal whole texts are one text with a count: all of a text of LENGTH bytes or more goes if it has copies. Null and short texts lose nothing. Strings never cross texts.
-Keys are compared by at least 88 bits of hashes. Ids may repeat or be null. Reducers hold about ENTRIES keys each, whatever the size of the corpus.
+Hashes have 88 bits or more. Ids may repeat or be null. Reducers hold about ENTRIES keys each, whatever the size of the corpus; a text with over COPIES copies
+sends its keys once.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import each_bytes, few, mix64, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hash, written
+from .common import each_bytes, each_once, few, mix64, numbered, place, powers, prefix_hash, raw, release, ship, span_hash, strings, table, text_hash, written
 
-LENGTH, CORE, TRIGGER, RATE, ENTRIES, SLICE, SENT, SENT_ROWS = 400, 200, 8, 5, 1_000_000, 4 << 20, 2_000_000, 200_000
+LENGTH, CORE, TRIGGER, RATE, ENTRIES, BLOCKS, SLICE, SENT, SENT_ROWS = 400, 200, 8, 5, 1_000_000, 20_000, 2 << 20, 2_000_000, 200_000
 REACH = LENGTH - CORE
 #: Codes of the parse level: position << 2 | code.
 REPEATS, EDGE, SETTLED, ALONE = 0, 1, 2, 3
@@ -79,6 +80,12 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _spans(part: np.ndarray) -> list[tuple[int, slice]]:
+    """The values of a sorted array that occur, and where."""
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]).tolist()
+    return [(int(part[i]), slice(i, j)) for i, j in zip(heads, [*heads[1:], len(part)])]
+
+
 def _parsed(parts: int):
     """Keys of the parse level, dealt to reducers in one binary for each slice and reducer."""
 
@@ -97,11 +104,10 @@ def _parsed(parts: int):
             doc = np.searchsorted(at, pos, side="right") - 1
             order = np.argsort(key, kind="stable")
             key, more, pos, alone, doc = key[order], more[order], pos[order], alone[order], doc[order]
-            cuts = np.searchsorted((key >> np.uint64(48)).astype(np.int64) * parts >> 16, np.arange(parts + 1))
+            part = (key >> np.uint64(48)).astype(np.int64) * parts >> 16
             rows = []
-            for p in range(parts):
-                s = slice(cuts[p], cuts[p + 1])
-                if cuts[p] < cuts[p + 1]:
+            for p, s in _spans(part):
+                if s.stop > s.start:
                     used, local = np.unique(doc[s], return_inverse=True)
                     rows.append((p, _planes(key[s], 6), _planes(more[s], 5), _planes(local.astype(np.uint64) << np.uint64(1) | alone[s], 3), _planes((pos[s] - at[doc[s]]).astype(np.uint64), 4), names[used].tobytes()))
             kinds = (pa.int32(), *[pa.binary()] * 5)
@@ -147,8 +153,14 @@ def _parse_level(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(name), pa.array(code)], names=["name", "code"])
 
 
-def _suffixes(parts: int):
-    """Dictionary level: for the blocks at edges, and one of each settled class, the hash of every string."""
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes data[start:start + size], end to end."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+
+
+def _edges(parts: int):
+    """For the blocks at edges, and one of each settled class: the bytes of their phrases and of what follows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
@@ -159,55 +171,96 @@ def _suffixes(parts: int):
             owner = np.repeat(np.arange(len(names)), np.diff(ends))
             wanted = np.unique((at[owner] + (codes >> 2))[(code == EDGE) | (code == SETTLED)])
             i = np.searchsorted(trigger, wanted)
-            trigger, first, last = trigger[i], first[i], last[i]
-            core = span_hash(prefix, trigger, trigger + CORE)
-            doc = np.searchsorted(at, trigger, side="right") - 1
-            n = last - first + 1
-            start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hashes = span_hash(prefix, start, start + LENGTH)
+            core = span_hash(prefix, trigger[i], trigger[i] + CORE)
             part = (core >> np.uint64(48)).astype(np.int64) * parts >> 16
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            begin = np.cumsum(n) - n
+            core, part, i = core[order], part[order], i[order]
+            trigger, first, last = trigger[i], first[i], last[i]
+            doc = np.searchsorted(at, trigger, side="right") - 1
             rows = []
-            for p in range(parts):
-                own = order[cuts[p] : cuts[p + 1]]
-                if len(own):
-                    m = n[own]
-                    take = np.repeat(begin[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                    rows.append((p, core[own].tobytes(), names[doc[own]].tobytes(), np.stack([trigger[own] - at[doc[own]], first[own] - at[doc[own]], m]).astype("<u4").tobytes(), _planes(hashes[take], 6)))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["p", "core", "names", "places", "hashes"])
+            for p, s in _spans(part):
+                t, f, z, own = trigger[s], first[s], last[s], at[doc[s]]
+                places = np.stack([t - own, f - own, z - own]).astype("<u4").tobytes()
+                rows.append((p, core[s].tobytes(), names[doc[s]].tobytes(), places, _gathered(data, f, t - f).tobytes(), _gathered(data, t, z + LENGTH - t).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["p", "core", "names", "places", "phrases", "tails"])
 
     return emit
 
 
-_S = "p int, core binary, names binary, places binary, hashes binary"
+_S = "p int, core binary, names binary, places binary, phrases binary, tails binary"
+
+
+def suffix_array(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lexicographic order of the rows (bytes above 0, padded by zeros) inside each group, and the common prefix of each, in that order, with the one before; -1 at a group's first."""
+    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), group))
+    common = np.full(len(rows), -1, np.int64)
+    step = max(1, (8 << 20) // rows.shape[1])
+    for a in range(1, len(rows), step):
+        z = min(a + step, len(rows))
+        differ = rows[order[a:z]] != rows[order[a - 1 : z - 1]]
+        common[a:z] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    common[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return order, common
+
+
+def _padded(data: list[np.ndarray], size: np.ndarray, wide: int, reverse: bool) -> np.ndarray:
+    """Rows of bytes one higher (UTF-8 has no 255), padded by zeros; reversed on request."""
+    out = np.zeros((len(size), wide), np.uint8)
+    place = np.arange(wide)[None, ::-1] if reverse else np.arange(wide)[None, :]
+    out[place < size[:, None]] = np.concatenate([*data, np.zeros(0, np.uint8)])
+    out += place < size[:, None]
+    return np.ascontiguousarray(out[:, ::-1]) if reverse else out
+
+
+def corpus_order(group: np.ndarray, phrase: np.ndarray, tail: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that repeat, as row and bytes before the trigger, from the suffix arrays of dictionary and parse.
+
+    Row i stands for the strings of `length` bytes that start least[i] to most[i] bytes before its trigger; phrase has the bytes before it, nearest first, and tail
+    those from it on. Rows of one group only are compared.
+    """
+    by_phrase, phrase_common = suffix_array(phrase, group)
+    by_tail, tail_common = suffix_array(tail, group)
+    # of each row, its class among the phrase suffixes of d bytes, and among the parses of length - d bytes: the first rank of the class
+    phrase_at, tail_at = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
+    rank = np.arange(len(group))
+    phrase_at[by_phrase], tail_at[by_tail] = rank, rank
+    one, two = [], []
+    for d in range(int(least.min()), int(most.max()) + 1):
+        own = np.flatnonzero((least <= d) & (d <= most))
+        if len(own) < 2:
+            continue
+        suffix = np.maximum.accumulate(np.where(phrase_common < d, rank, 0))[phrase_at[own]]
+        parse = np.maximum.accumulate(np.where(tail_common < length - d, rank, 0))[tail_at[own]]
+        key = suffix * len(group) + parse
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        one.append(own[hit])
+        two.append(np.full(len(hit), d, np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*one, none]), np.concatenate([*two, none])
 
 
 def _dictionary_level(group: pa.Table) -> pa.Table:
     """Runs of starts whose strings are seen again: name, first, last."""
-    core, name, place, hashes = [], [], [], []
-    for _, c, m, x, h in zip(*(c.to_pylist() for c in group.columns)):
+    core, name, place, phrases, tails = [], [], [], [], []
+    for _, c, m, x, f, t in zip(*(c.to_pylist() for c in group.columns)):
         core.append(np.frombuffer(c, "<u8"))
         name.append(np.frombuffer(m, "<i8"))
         place.append(np.frombuffer(x, "<u4").reshape(3, -1).astype(np.int64))
-        hashes.append(_unplanes(h, 6))
-    core, name, place, hashes = np.concatenate(core), np.concatenate(name), np.concatenate(place, 1), np.concatenate(hashes)
-    trigger, first, n = place
-    block = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n) + first[block]
-    key = mix64(core[block] + mix64(hashes + (trigger[block] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
-    again = np.zeros(len(key), bool)
-    again[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    at = np.flatnonzero(again)
-    head = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(block[at]) != 0)])[: len(at)]
-    a = at[head]
-    z = at[np.concatenate([head[1:], [True]])[: len(at)]]
-    return pa.table([pa.array(name[block[a]]), pa.array(start[a]), pa.array(start[z])], names=["name", "first", "last"])
+        phrases.append(np.frombuffer(f, np.uint8))
+        tails.append(np.frombuffer(t, np.uint8))
+    core, name, (trigger, first, last) = np.concatenate(core), np.concatenate(name), np.concatenate(place, 1)
+    phrase = _padded(phrases, trigger - first, max(1, int((trigger - first).max())), True)
+    tail = _padded(tails, last + LENGTH - trigger, LENGTH, False)
+    row, before = corpus_order(core, phrase, tail, trigger - last, trigger - first, LENGTH)
+    start = trigger[row] - before
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    head = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(start) != 1)])[: len(row)]
+    z = np.concatenate([head[1:], [True]])[: len(row)]
+    return pa.table([pa.array(name[row[head]]), pa.array(start[head]), pa.array(start[z])], names=["name", "first", "last"])
 
 
 def _removal(text: bytes, codes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, int]:
@@ -243,16 +296,17 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple
     members = written(docs.select(id, text, name).mapInArrow(size, f"`{id}` {kind}, n_bytes long, name long, sha256 string"), "members")
     total = members.agg(F.sum("n_bytes")).head()[0] or 0
     parts = max(8, -(-total // ((1 << RATE) * ENTRIES)))
-    codes = written(docs.select(text, name).mapInArrow(_parsed(parts), _P).groupBy("p").applyInArrow(_parse_level, "name long, code long"), "codes")
+    once = each_once(docs, text, members.select(F.col("name").alias("hash")))
+    codes = written(once.select("text", "hash").mapInArrow(_parsed(parts), _P).groupBy("p").applyInArrow(_parse_level, "name long, code long"), "codes")
     release(spark)
     wanted = codes.groupBy("name").agg(F.collect_list("code").alias("codes"))
     hit = written(codes.select("name").distinct(), "hit")
     hint = F.broadcast if hit.count() <= SENT else (lambda x: x)  # 8 bytes each: then only texts with repeats are shuffled
-    found = docs.select(name.alias("name"), F.col(text).alias("text")).join(hint(hit), "name", "left_semi").dropDuplicates(["name"])
+    found = once.select(F.col("hash").alias("name"), "text").join(hint(hit), "name", "left_semi").dropDuplicates(["name"])
     work = written(found.join(wanted, "name"), "work")
     release(spark)
     edges = codes.where((F.col("code") % 4).isin(EDGE, SETTLED)).count()
-    sorted_ = work.where(F.exists("codes", lambda c: (c % 4).isin(EDGE, SETTLED))).mapInArrow(_suffixes(max(8, -(-edges * (1 << RATE) // ENTRIES))), _S)
+    sorted_ = work.where(F.exists("codes", lambda c: (c % 4).isin(EDGE, SETTLED))).mapInArrow(_edges(max(8, -(-edges // BLOCKS))), _S)
     runs = written(sorted_.groupBy("p").applyInArrow(_dictionary_level, "name long, first long, last long"), "runs")
     release(spark)
     runs = runs.groupBy(F.col("name").alias("_name")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
@@ -300,25 +354,30 @@ def removed(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated bytes gone from the texts; broken characters at the edges of what is left go, too. A null text stays null."""
+    """docs with the repeated bytes gone from the texts; broken characters at the edges of what is left go, too.
+
+    A null text stays null, an empty one empty; a text all of whose bytes go is left empty. Columns may have any names.
+    """
+    columns = docs.columns
+    id, text, docs = place(docs, id), place(docs, text), numbered(docs)
     members, left = repeats(docs, id=id, text=text)
     copied = _copies(members)
-    left = left.join(copied, F.col("name") == F.col("copied"), "left_anti").select(F.col("name").alias("_cut_"), F.col("kept").alias("_kept_"))
-    left = written(left.unionByName(copied.select(F.col("copied").alias("_cut_"), F.lit(b"").alias("_kept_"))), "left")
-    names = left.select(F.col("_cut_").alias("_hit_"))
+    left = left.join(copied, F.col("name") == F.col("copied"), "left_anti").select(F.col("name").alias("cut"), "kept")
+    left = written(left.unionByName(copied.select(F.col("copied").alias("cut"), F.lit(b"").alias("kept"))), "left")
+    names = left.select(F.col("cut").alias("hit"))
     hint = F.broadcast if left.count() <= SENT else (lambda x: x)  # 8 bytes each: texts that stay whole are not shuffled
-    named = docs.withColumn("_name_", text_hash(F.col(f"`{text}`"))).join(hint(names), F.col("_name_") == F.col("_hit_"), "left")
-    changed = named.where("_hit_ IS NOT NULL").join(left, F.col("_name_") == F.col("_cut_"), "left")
-    fixed = F.when(F.col("_cut_").isNull() | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.col("_fixed_"))
+    named = docs.withColumn("name", text_hash(F.col(text))).join(hint(names), F.col("name") == F.col("hit"), "left")
+    changed = named.where("hit IS NOT NULL").join(left, F.col("name") == F.col("cut"), "left")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else x.decode("utf-8", "ignore") for x in b.column(b.num_columns - 1).to_pylist()], pa.string())], [*b.schema.names[:-1], "_fixed_"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else x.decode("utf-8", "ignore") for x in b.column(b.num_columns - 1).to_pylist()], pa.string())], [*b.schema.names[:-1], "fixed"])
 
-    kept = changed.schema["_kept_"]
-    changed = changed.mapInArrow(decode, T.StructType([f for f in changed.schema.fields if f.name != kept.name] + [T.StructField("_fixed_", T.StringType())]))
-    changed = changed.select(*[fixed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return named.where("_hit_ IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)
+    others = [f for f in docs.schema.fields if f.name != text]
+    null = F.col(text).isNull()
+    changed = changed.select(*[f.name for f in others], F.when(~null, F.col("kept")).alias("kept"))
+    changed = changed.mapInArrow(decode, T.StructType([*others, T.StructField("fixed", T.StringType())])).withColumnRenamed("fixed", text)
+    return named.where("hit IS NULL").select(*docs.columns).unionByName(changed.select(*docs.columns)).toDF(*columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
