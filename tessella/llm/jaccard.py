@@ -11,9 +11,10 @@ linked sets agree on whole segments.
   differs by at most one hash (the segment, its deletions, and the index's deletions). Costs decide: the segments with most hashes, which
   are shared least, get 1; empty segments, which most sets share, get 0; what is then missing is raised to 2 on the cheapest
   reserve segments. Sets for which even that is too little go through a join on all their hashes.
-* A key's sets meet in a reducer. Small runs give their pairs. A long run gives the pairs of its least set and keeps
-  its members; once these pairs are verified and joined into components, members already connected need no pair, so a group of thousands of
-  copies costs its size, not its square; what is left of a run is compared, between different components, by sketches.
+* A key's sets meet in a reducer; a text with over COPIES copies emits its keys once. Small runs give their pairs. A long run gives the
+  pairs of its least set and keeps its members. In a run whose members these links don't connect, sketches tell which members may link with
+  one of another component, in blocks of at most 2 * WIDE members; the whole sets of these give, in blocks of about 2 * ENTRIES hashes, links
+  that join all that links join, at most one fewer than the members, not all pairs.
 * A sketch holds the parities of a set's hashes in 2^k >= 2n bits. The bits in which two sketches differ are a lower bound of the symmetric
   difference, so a pair with more than a seventh of its sizes' sum cannot link: no text is fetched for it, and no link is lost.
 * Every pair left is verified on the shingles of both texts. Links make components.
@@ -28,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, hash_strings, mix64, raw, release, ship, strings, table, text_hash, words_of, written
+from .common import each_once, few, forget, hash_strings, mix64, numbered, place, raw, release, ship, strings, sums, table, text_hash, words_of, written
 from .components import components
 
-WORDS, RUN, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 1_000_000, 2_000_000, 4 << 20
+WORDS, RUN, WIDE, STRIP, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 16_384, 64, 1_000_000, 2_000_000, 2 << 20
 #: Similarity 3/4: linked sizes differ by 4/3 at most, and the symmetric difference is at most a seventh of the sizes' sum.
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -80,12 +81,21 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _folded(sketch: bytes, words: int) -> np.ndarray:
-    """A sketch with fewer bits: its halves over each other."""
-    x = np.frombuffer(sketch, "<u8")
-    while len(x) > words:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words, all of one length) with fewer bits: their halves over each other."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def _rows_of_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of binaries that stand in order of length: their lengths, and for each length the 64-bit words of those that have it."""
+    own = pa.concat_arrays([*(x.cast(pa.large_binary()) for x in column.chunks), pa.array([], pa.large_binary())])
+    data, at = raw(own)
+    size = np.diff(at)
+    ends = [*np.flatnonzero(np.diff(size)) + 1, len(size)]
+    return size, [(int(size[i]), data[at[i] : at[j]].copy().view("<u8").reshape(j - i, -1)) for i, j in zip([0, *ends[:-1]], ends) if j > i]
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,30 +104,80 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = []
         for m, n, x, y in zip(*(b.column(j).to_pylist() for j in (2, 3, 4, 5))):
             w = min(len(x), len(y)) // 8
-            ok.append(int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) <= (m + n) // 7)
+            ok.append(int(np.bitwise_count(_folded(np.frombuffer(x, "<u8"), w) ^ _folded(np.frombuffer(y, "<u8"), w)).sum()) <= (m + n) // 7)
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
-def _run_pairs(group: pa.Table) -> pa.Table:
-    """Of one long run: the pairs between different components whose roles, sizes and sketches leave room for a link."""
-    name, n, role, component = (group.column(c).to_numpy() for c in ("name", "n", "role", "component"))
-    sketches = group.column("sketch").to_pylist()
-    w = min(map(len, sketches)) // 8
-    bits = np.stack([_folded(x, w) for x in sketches])
-    one, two = [], []
-    step = max(1, (1 << 22) // (w * len(name)))
-    for a in range(0, len(name), step):
-        i = np.arange(a, min(a + step, len(name)))[:, None]
-        j = np.arange(len(name))[None, :]
-        ok = (name[i] < name[j]) & (component[i] != component[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
-        ok &= ((role[i] & PROBE != 0) & (role[j] & INDEX != 0)) | ((role[j] & PROBE != 0) & (role[i] & INDEX != 0))
-        x, y = np.nonzero(ok)
-        x = x + a
-        near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= (n[x] + n[y]) // 7
-        one.append(name[x[near]])
-        two.append(name[y[near]])
-    return pa.table([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
+def _active(group: pa.Table) -> pa.Table:
+    """Of one block of a long run: the members that may link with one of another component, by roles, sizes and sketches.
+
+    Members stand in order of size, so those that one can link with are next to it, and all of these have sketches as long as its own.
+    """
+    order = np.argsort(group.column("n").to_numpy(), kind="stable")
+    n, part, component, role = (group.column(c).to_numpy()[order] for c in ("n", "part", "component", "role"))
+    size, data = _rows_of_bytes(group.column("sketch").take(pa.array(order)))
+    words = size // 8
+    probe, index, across = role & PROBE != 0, role & INDEX != 0, part[0] != part[-1] or len(np.unique(part)) > 1
+    on, bits, level = np.zeros(len(n), bool), np.zeros((0, 0), np.uint64), 0
+    last = np.searchsorted(n, 4 * n // 3, side="right")
+    a = 0
+    while a < len(n):
+        if words[a] != level:
+            level = int(words[a])
+            bits = np.concatenate([np.zeros((a, level), np.uint64), *(_folded(x, level) for w, x in data if w >= 8 * level)])
+        z = min(a + STRIP, int(np.searchsorted(words, level, side="right")))
+        i, j = slice(a, z), slice(a, int(last[z - 1]))
+        differ = np.zeros((z - a, j.stop - a), np.int32)
+        for k in range(level):
+            differ += np.bitwise_count(bits[i, k][:, None] ^ bits[None, j, k][0])
+        both = n[i][:, None] + n[j][None, :]
+        ok = (7 * differ <= both) & (3 * n[j][None, :] <= 4 * n[i][:, None]) & (component[i][:, None] != component[j][None, :])
+        ok &= (probe[i][:, None] & index[j][None, :]) | (index[i][:, None] & probe[j][None, :])
+        if across:
+            ok &= part[i][:, None] != part[j][None, :]
+        on[i] |= ok.any(1)
+        on[j] |= ok.any(0)
+        a = z
+    return group.select(["run", "block", "name", "component", "n"]).take(pa.array(np.sort(order[on])))
+
+
+def _star(group: pa.Table) -> pa.Table:
+    """Of one block of a long run: links that join all its members that links join, at most one fewer than the members.
+
+    From each member in turn, the members not reached yet whose sets link with its own are reached, and so are those already in its component.
+    """
+    name, component = group.column("name").to_numpy(), group.column("component").to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(code.max()) + 1, np.int64)
+    waiting, one, two = np.arange(len(name)), [], []
+    queue: list[int] = []
+    while len(waiting):
+        if not queue:
+            queue.append(int(waiting[0]))
+            waiting = waiting[1:]
+        x = queue.pop()
+        same = component[waiting] == component[x]
+        queue += waiting[same].tolist()
+        waiting = waiting[~same]
+        if not len(waiting):
+            break
+        own = code[ends[x] : ends[x + 1]]
+        mark[own] = 1
+        m = n[waiting]
+        at = np.concatenate([[0], np.cumsum(m)])
+        both = sums(mark[code[np.repeat(ends[waiting] - at[:-1], m) + np.arange(at[-1])]], at)
+        mark[own] = 0
+        hit = (both > 0) & (100 * both >= 75 * (n[x] + m - both))
+        one += [x] * int(hit.sum())
+        two += waiting[hit].tolist()
+        queue += waiting[hit].tolist()
+        waiting = waiting[~hit]
+    a, b = name[np.array(one, np.int64)], name[np.array(two, np.int64)]
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _plan(band: int) -> tuple[int, int, int]:
@@ -212,12 +272,10 @@ def _emit(parts: int):
             part = (key >> np.uint64(48)).astype(np.int64) * parts >> 16
             order = np.argsort(key, kind="stable")
             key, doc, role, part = key[order], doc[order], role[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
             rows: list[tuple] = []
-            for p in range(parts):
-                lo, hi = cuts[p], cuts[p + 1]
-                if lo == hi:
-                    continue
+            heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+            for lo, hi in zip(heads, [*heads[1:], len(part)]):
+                p = int(part[lo])
                 used, local = np.unique(doc[lo:hi], return_inverse=True)
                 rows.append((p, _planes(key[lo:hi], 6), _planes(local.astype(np.uint64) << np.uint64(2) | role[lo:hi].astype(np.uint64), 3), names[used].tobytes(), n[used].astype("<u4").tobytes()))
             rows += [(-1, b"", b"", names[[i]].tobytes(), n[[i]].astype("<u4").tobytes()) for i in rest]
@@ -317,13 +375,24 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return written(hashed.join(hint(wanted), "hash").select("name", "text").dropDuplicates(["name"]), "texts")
 
 
-def _rest(docs: DataFrame, text: str, rest: DataFrame) -> DataFrame:
-    """Pairs of the sets whose allocations fell short, by a join on all hashes: exact, and as rare as such sets."""
-    sets = docs.select(text).mapInArrow(_all_hashes, "name long, n long, h long").distinct()
-    own = sets.join(rest.select(F.col("name")).distinct(), "name", "left_semi").select(F.col("name").alias("a"), F.col("n").alias("an"), "h")
-    other = sets.select(F.col("name").alias("b"), F.col("n").alias("bn"), "h")
-    met = own.join(other, "h").where("a <> b AND 4 * least(an, bn) >= 3 * greatest(an, bn)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-    return met.where("100 * both >= 75 * (an + bn - both)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _rest(sets: DataFrame, rest: DataFrame) -> DataFrame:
+    """Candidates (a < b) of the sets whose allocations fell short: exact, and as rare as such sets.
+
+    A set of n hashes that links shares at least 3n/4 of them, so it shares one of any n - ceil(3n/4) + 1; the rarest are taken, so that
+    a passage of many documents brings no pairs.
+    """
+    own = sets.join(rest.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("a"), F.col("n").alias("an"), "h")
+    held = sets.join(own.select("h").distinct(), "h", "left_semi")
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "h"))
+    few_ = own.join(often, "h").withColumn("rank", rank).where("rank <= an - ceil(an * 3 / 4) + 1")
+    met = few_.join(held.select(F.col("name").alias("b"), F.col("n").alias("bn"), "h"), "h").where("a <> b AND 4 * least(an, bn) >= 3 * greatest(an, bn)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in few(batches, SLICE):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(strings(b.column(1)))], pa.binary())], ["name", "hashes"])
 
 
 def _all_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +402,13 @@ def _all_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["name", "n", "h"])
 
 
+def _dealt(runs: DataFrame) -> DataFrame:
+    """Members of runs, cut into `blocks` parts, once in each pair of parts that holds their own: part, block."""
+    part = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    dealt = runs.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("block", F.least("part", "other") * F.col("blocks") + F.greatest("part", "other"))
+
+
 def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Membership (id, n_shingles, name: the class, null without a set), and the component of each linked class (node, component)."""
     spark = docs.sparkSession
@@ -348,7 +424,8 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     members = written(docs.select(id, text, text_hash(F.col(text))).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, hash long"), "members")
     total = members.agg(F.sum("n_shingles")).head()[0] or 0
     parts = max(8, -(-total * 3 // (4 * ENTRIES)))
-    sent = docs.select(text).mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
+    once = each_once(docs, text, members.select("hash"))
+    sent = once.select("text").mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
     met = written(sent.groupBy("p").applyInArrow(_meet, _MET), "met")
     release(spark)
     sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch", "hash").dropDuplicates(["name"]), "sketches")
@@ -362,74 +439,87 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
         return written(_verified(pairs, _texts(docs, text, wanted.join(sketches.select("name", "hash"), "name"))), "links")
 
-    done = written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs")
-    links = verified(done)
+    links = verified(written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs"))
     release(spark)
     names = components(links)
     runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role")
-    for turn in range(2):
-        # members of long runs that are not connected yet
-        at = runs.join(names, runs.name == names.node, "left").select("run", "name", "n", "role", F.coalesce("component", "name").alias("component"))
-        open_ = at.groupBy("run").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("run")
-        runs = written(at.join(open_, "run", "left_semi"), "runs")
-        if not runs.head(1):
-            break
-        if turn == 0:  # another pivot for each run
-            pivot = runs.groupBy("run").agg(F.min_by(F.struct("name", "component"), F.xxhash64(F.lit(turn), "name")).alias("p"))
-            across = runs.join(pivot, "run").where("component <> p.component AND name <> p.name")
-            met_ = across.select(F.least("name", "p.name").alias("a"), F.greatest("name", "p.name").alias("b")).distinct()
-            fresh = near(met_.join(done, ["a", "b"], "left_anti"))
-        else:  # what is left, inside each run
-            full = runs.join(sketches.select("name", "sketch"), "name").select("run", "name", "n", "role", "component", "sketch")
-            fresh = full.groupBy("run").applyInArrow(_run_pairs, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        done = done.union(fresh)
+    # runs whose members are not all connected yet
+    at = runs.join(names, runs.name == names.node, "left").select("run", "name", "n", "role", F.coalesce("component", "name").alias("component"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / WIDE), F.ceil(F.sum("n") / (16 * ENTRIES))).cast("int")  # sketches have at most four bits a hash
+    open_ = at.groupBy("run").agg((F.min("component") != F.max("component")).alias("open"), blocks.alias("blocks")).where("open").select("run", "blocks")
+    runs = written(at.join(open_, "run"), "runs")
+    if runs.head(1):
+        full = _dealt(runs).join(sketches.select("name", "sketch"), "name").select("run", "block", "part", "name", "n", "role", "component", "sketch")
+        active = full.groupBy("run", "block").applyInArrow(_active, "run long, block int, name long, component long, n long").drop("block").distinct()
+        active = written(active, "active")
+        # runs with the same active members need one look
+        like = active.groupBy("run").agg(F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).alias("like"), F.ceil(F.sum("n") / ENTRIES).cast("int").alias("blocks"))
+        looks = like.groupBy("like").agg(F.min(F.struct("run", "blocks")).alias("look")).select("look.*")
+        wanted = active.select("name").distinct().join(sketches.select("name", "hash"), "name")
+        sets = _texts(docs, text, wanted).mapInArrow(_set_bytes, "name long, hashes binary")
+        fresh = _dealt(active.join(looks, "run")).join(sets, "name").select("run", "block", "name", "component", "hashes")
+        fresh = written(fresh.groupBy("run", "block").applyInArrow(_star, "a long, b long").distinct(), "links")
         if fresh.head(1):
-            links = links.union(verified(fresh))
+            links = links.union(fresh)
             names = components(links)
-        runs = runs.select("run", "name", "n", "role")
     rest = met.where("kind = 2").select(F.col("b").alias("name"))
     if rest.head(1):
-        links = links.union(_rest(docs, text, rest))
+        sets = written(once.select("text").mapInArrow(_all_hashes, "name long, n long, h long").distinct(), "sets")
+        links = links.union(verified(written(_rest(sets, rest), "pairs")))
         names = components(links)
+    for used in (met, runs, sketches):
+        forget(used)
     return members, names
 
 
+SALTS = 16
+
+
 def linked(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id that links reach) and name (the class) for every row."""
     members, names = jaccard_links(docs, id=id, text=text)
-    at = members.join(names, members.name == names.node, "left").select(id, "n_shingles", "name", F.coalesce("component", "name").alias("component"))
-    least = at.where("component IS NOT NULL").groupBy(F.col("component").alias("_c")).agg(F.min(id).alias("_least"))
-    out = at.join(least, at.component == F.col("_c"), "left")
-    return out.select(id, "n_shingles", F.when(F.col("name").isNull(), F.col(id)).otherwise(F.col("_least")).alias("component_id"), "name")
+    own = members.where("name IS NOT NULL").groupBy("name").agg(F.min(id).alias("least"))
+    own = written(own.join(names, own.name == names.node, "left").select("name", "least", F.coalesce("component", "name").alias("component")), "classes")
+    # a component may hold a large part of all classes: its rows go to SALTS tasks, its least id with each of them
+    salt = F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")
+    part = own.groupBy("component", salt.alias("salt")).agg(F.min("least").alias("least")).groupBy("component").agg(F.min("least").alias("component_id"))
+    part = part.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = own.withColumn("salt", salt).join(part, ["component", "salt"]).select(F.col("name").alias("node"), "component_id")
+    out = members.join(ids, F.col("name") == F.col("node"), "left")
+    return out.select(id, "n_shingles", F.when(F.col("name").isNull(), F.col(id)).otherwise(F.col("component_id")).alias("component_id"), "name")
 
 
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row whose id is its component_id. Rows without a set stay."""
-    spark = docs.sparkSession
+    """The rows of docs without near-duplicates: of each component the row whose id is its component_id.
+
+    Rows without a set (null or empty texts, no words) stay. Of rows that share that id and the class, one stays: that with the least
+    text, then in the order of the other columns as text. Columns may have any names.
+    """
+    columns = docs.columns
+    id, text, docs = place(docs, id), place(docs, text), numbered(docs)
+    key = F.coalesce(F.col(id).cast("string"), F.lit("null"))
     at = written(linked(docs, id=id, text=text).where("name IS NOT NULL"), "linked")
     first = F.col(id).eqNullSafe(F.col("component_id"))
-    mark = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("null")), "name").alias("mark")
+    mark = F.xxhash64(key, "name").alias("mark")
     gone = written(at.where(~first).select(mark).distinct(), "gone")
     many = written(at.where(first).groupBy(id, "name").count().where("count > 1").select(mark), "many")
-    marked = docs.mapInArrow(_named(docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("_name_", T.LongType())]))
-    key = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("null")), "_name_")
-    n = gone.count()
-    small = n <= SENT_CLASSES
-    hint = F.broadcast if small else (lambda x: x)  # 8 bytes each; beyond that Spark shuffles
-    kept = marked.withColumn("_mark_", key).join(hint(gone), F.col("_mark_") == F.col("mark"), "left_anti")
+    marked = docs.mapInArrow(_named(docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("name", T.LongType())]))
+    hint = F.broadcast if gone.count() <= SENT_CLASSES else (lambda x: x)  # 8 bytes each; beyond that Spark shuffles
+    kept = marked.withColumn("own", F.xxhash64(key, "name")).join(hint(gone), F.col("own") == F.col("mark"), "left_anti")
     if many.head(1):  # whole rows repeat
         hint = F.broadcast if many.count() <= SENT_CLASSES else (lambda x: x)
-        again = kept.join(hint(many), F.col("_mark_") == F.col("mark"), "left_semi").dropDuplicates(["_mark_"])
-        kept = kept.join(hint(many), F.col("_mark_") == F.col("mark"), "left_anti").unionByName(again)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        order = F.struct(F.col(text), *[F.col(c).cast("string") for c in docs.columns])
+        again = kept.join(hint(many), F.col("own") == F.col("mark"), "left_semi")
+        again = again.groupBy("own").agg(F.min_by(F.struct(*again.columns), order).alias("least")).select("least.*")
+        kept = kept.join(hint(many), F.col("own") == F.col("mark"), "left_anti").unionByName(again)
+    return kept.select(*docs.columns).toDF(*columns)
 
 
 def _named(at: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             n, names = _class(shingle_sets(strings(b.column(at))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, mask=n == 0)], [*b.schema.names, "_name_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, mask=n == 0)], [*b.schema.names, "name"])
 
     return name
 
