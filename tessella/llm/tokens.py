@@ -1,11 +1,14 @@
 """Token counts: exact, with huge documents encoded in overlapping chunks that are spliced where both chunks provably agree.
 
-A document longer than `chunk` characters is cut into chunks that overlap by `overlap` characters. Both
-neighbours of a cut are encoded with offsets. A common boundary is proven stable where ASCII white space
-stands between two words that lie wholly inside both chunks, and both encodings put a token end before
-it and a token start after it: the tokenizer drops white space before it merges, so nothing left of such
-a boundary changes an id right of it. The left chunk's ids count up to the boundary, the right chunk's
-from there on. If an overlap holds no such boundary, it is doubled, at most to the whole neighbouring chunk and on.
+A document longer than `chunk` characters is cut into chunks that overlap by `overlap` characters, and each is encoded by the library
+itself, with the offsets of its tokens. A boundary inside an overlap is proven stable where
+
+* ASCII white space stands before it: the tokenizer drops white space before it merges, so nothing left of it changes an id right of it,
+  and in both encodings one token starts there and none lies across it; and
+* from there to the last white space that both chunks hold, both encodings have the same tokens: ids, starts and ends.
+
+The left chunk's ids count up to the boundary, the right chunk's from there on. Where an overlap has no such boundary, or the encodings
+don't align, it is doubled, up to the whole chunk; where that doesn't help, the chunk is.
 
 Null and empty texts count 0 tokens. Rows with a null id are counted like any other.
 """
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import few, raw, ship, strings, table
 from .wordbpe import WordBpe
@@ -26,48 +30,57 @@ CHUNK, OVERLAP = 16_384, 256
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _encode(bpe: WordBpe, text: str, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one chunk: the start of every word in the document, and the number of ids that stand before it; then one past the end."""
-    starts, words, i, n = [], [], 0, len(text)
-    for w in text.translate(_TO_SPACE).split(" "):
-        if w:
-            starts.append(base + i)
-            words.append(w)
-        i += len(w) + 1
-    sizes = np.fromiter((len(x) for x in bpe.of_words(words)), np.int64, len(words))
-    return np.array([*starts, base + n], np.int64), np.concatenate([[0], np.cumsum(sizes)])
+class Chunk:
+    """One encoded chunk: where its tokens start and end in the document, and their ids."""
+
+    def __init__(self, library: Tokenizer, text: str, start: int, end: int):
+        e = library.encode(text[start:end], add_special_tokens=False)
+        place = np.array(e.offsets, np.int64).reshape(-1, 2) + start
+        self.start, self.end = place[:, 0], place[:, 1]
+        self.ids = np.array(e.ids, np.int64)
+        self.to = end
+
+    def before(self, at: int) -> int:
+        """How many tokens start before at."""
+        return int(np.searchsorted(self.start, at))
+
+    def stable(self, at: int) -> bool:
+        """One token starts at `at`, and none lies across it."""
+        i = self.before(at)
+        return i < len(self.start) and self.start[i] == at and (i == 0 or self.end[i - 1] <= at)
 
 
-_TO_SPACE = {ord(c): " " for c in _SPACE}
+def splice(text: str, left: Chunk, right: Chunk, lo: int, resume: int) -> int | None:
+    """A stable boundary of left and right, whose chunk starts at lo; None if there is none, or if they don't align after it."""
+    last = max(text.rfind(c, lo, left.to) for c in _SPACE)  # what stands before it is whole in both
+    common = np.intersect1d(left.start[left.start > max(lo, resume)], right.start)
+    common = [c for c in common[common < last].tolist() if text[c - 1] in _SPACE and left.stable(c) and right.stable(c)]
+    for at in common:
+        own, other = (slice(x.before(at), x.before(last)) for x in (left, right))
+        if all(np.array_equal(x[own], y[other]) for x, y in ((left.ids, right.ids), (left.start, right.start), (left.end, right.end))):
+            return at
+    return None
 
 
-def count_huge(bpe: WordBpe, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_huge(library: Tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of ids of text, from overlapping chunks."""
-    total, start, n = 0, 0, len(text)
-    resume = 0  # the next chunk counts from the word that starts here
-    while True:
-        end = min(n, start + chunk)
-        at, before = _encode(bpe, text[start:end], start)
-        first = int(np.searchsorted(at, resume))
-        if end == n:
-            return total + int(before[-1] - before[min(first, len(before) - 1)])
-        wide, found = min(overlap, chunk // 2), None
-        while found is None:
-            lo = max(start, end - wide)
-            right, _ = _encode(bpe, text[lo : min(n, lo + chunk)], lo)
-            # word starts in both chunks, after white space that both chunks hold
-            common = np.intersect1d(at[:-1], right[:-1])
-            common = [int(c) for c in common if c > lo and c > resume and text[c - 1] in _SPACE]
-            if common:
-                found = common[len(common) // 2]
-            elif lo == start:  # no boundary in this whole chunk: widen beyond it
-                chunk, found = chunk * 2, -1
-            else:
+    total, start, resume = 0, 0, 0  # the chunk from start counts from resume on
+    left = Chunk(library, text, 0, min(len(text), chunk))
+    while left.to < len(text):
+        wide, at = overlap, None
+        while at is None:
+            lo = max(start, left.to - wide)
+            right = Chunk(library, text, lo, min(len(text), lo + max(chunk, 2 * wide)))
+            at = splice(text, left, right, lo, resume) if lo > start else None
+            if at is None and lo == start:  # the right chunk holds the left one and reaches further
+                left, wide = right, overlap
+                if left.to == len(text):
+                    return total + len(left.ids) - left.before(resume)
+            elif at is None:
                 wide *= 2
-        if found == -1:
-            continue
-        total += int(before[np.searchsorted(at, found)] - before[first])
-        start, resume = max(lo, found - 1), found
+        total += left.before(at) - left.before(resume)
+        left, start, resume = right, lo, at
+    return total + len(left.ids) - left.before(resume)
 
 
 def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -83,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
             small = pc.if_else(pa.array(chars > chunk), "", t)
             n = bpe.count(small)
             for i in huge:
-                n[i] = count_huge(bpe, t[int(i)].as_py(), chunk, overlap)
+                n[i] = count_huge(bpe.whole, t[int(i)].as_py(), chunk, overlap)
             _, at = raw(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], [id, "n_bytes", "n_tokens", "over_limit"])
 
