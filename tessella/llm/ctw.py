@@ -81,7 +81,6 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 _GRAMS = "p int, grams binary, counts binary, uses binary"
-_COUNTS = "depth int, p int, node binary, zeros binary, ones binary, below binary"
 
 
 def _dealt(rows: list[tuple]) -> pa.Table:
@@ -167,24 +166,6 @@ def _counted(p: int, seen: np.ndarray, counts: np.ndarray) -> list[tuple]:
     return rows
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-    return pa.table([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["depth", "p", "node", "zeros", "ones", "below"])
-
-
-def _count(group: pa.Table) -> pa.Table:
-    """Counts of all contexts and nodes of the strings of a group of rows, a row for each depth."""
-    seen, counts = (np.concatenate([_unplanes(x) for x in group.column(j).to_pylist()]) for j in (1, 2))
-    return _table(_counted(group.column(0)[0].as_py(), seen, counts))
-
-
-def _add(group: pa.Table) -> pa.Table:
-    """One row of sums for the rows of a depth."""
-    node, zeros, ones, below = (np.frombuffer(b"".join(group.column(j).to_pylist()), t) for j, t in ((2, "<u8"), (3, "<f8"), (4, "<f8"), (5, "<f8")))
-    node, at = np.unique(node, return_inverse=True)
-    return _table([(group.column(0)[0].as_py(), group.column(1)[0].as_py(), node.tobytes(), *(np.bincount(at, x, len(node)).astype("<f8").tobytes() for x in (zeros, ones, below)))])
-
-
 def weighted(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of every depth, from one row each: the sorted nodes, the Krichevsky-Trofimov probability of a one, and the weight of this depth against the deeper ones."""
     model = []
@@ -253,10 +234,19 @@ def gram_logs(rows: DataFrame) -> DataFrame:
 
     def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, seen, counts, _ in _parts(batches):
-            yield from _table([r for r in _counted(p, seen, counts) if r[0] < 2]).to_batches()
-
-    found = grams.mapInArrow(shallow, _COUNTS).toArrow()
-    top = [tuple(x[0].as_py() for x in _add(found.filter(pc.equal(found.column(0), d))).columns) for d in (0, 1) if found.num_rows]
+            for d, _, *columns in _counted(p, seen, counts):
+                if d < 2:
+                    node, zeros, ones, below = (np.frombuffer(x, t) for x, t in zip(columns, ("<i8", "<f8", "<f8", "<f8")))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), d, np.int32)), *map(pa.array, (node, zeros, ones, below))], ["depth", "node", "zeros", "ones", "below"])
+
+    # at most 65,535 nodes, summed before they come to the driver
+    met = grams.mapInArrow(shallow, "depth int, node long, zeros double, ones double, below double").groupBy("depth", "node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "below")])
+    found = met.toArrow().sort_by("node")
+    top = []
+    for d in (0, 1):
+        own = found.filter(pc.equal(found.column("depth"), d))
+        if own.num_rows:
+            top.append((d, 0, own.column("node").to_numpy().astype("<u8").tobytes(), *(own.column(x).to_numpy().astype("<f8").tobytes() for x in ("zeros", "ones", "below"))))
     sent = rows.sparkSession.sparkContext.broadcast(top)
 
     def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
