@@ -25,14 +25,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one language; the language column keeps its labels and gets predictions where it has none."""
     learnt = docs.where(crc_mod(F.col("doc_id"), 3) != 1)
     model = fit(learnt, id="doc_id", text="text", lang="lang")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = tuple((c, F.col(f"`{c}`")) for c in ["text", *others])
-    # the operator's own columns stand beside the carried ones under names that no table has
-    named = languages(docs, model, extra=tuple((f"_in_{c}", x) for c, x in carried))
+    columns, at = docs.columns, docs.columns.index("text")
+    # the operator's own columns stand beside the carried ones, which go by numbers: no name of a table's can clash
+    carried = tuple((f"c{i}", F.col(f"`{c}`")) for i, c in enumerate(columns) if i != at)
+    named = languages(docs, model, extra=carried, with_text=True)
     kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
-    back = {c: F.col(f"`_in_{c}`") for c, _ in carried} | {"doc_id": F.col("doc_id")}
-    back["lang"] = F.coalesce(back["lang"], F.col("lang_pred"))
-    return kept.select(*[back[c].alias(c) for c in docs.columns])
+    back = {i: F.col("text") if i == at else F.col(f"c{i}") for i in range(len(columns))}
+    lang = columns.index("lang")
+    back[lang] = F.coalesce(back[lang], F.col("lang_pred"))
+    return kept.select(*[back[i].alias(c) for i, c in enumerate(columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
