@@ -37,9 +37,14 @@ def _dropped(text: Column, chars: str) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words in 8-word windows that occur twice or more."""
 
+    def paired(h: Column, by: int, body: Callable[[Column], Column]) -> Column:
+        """body of the hashes of each value with the one `by` places on."""
+        n = F.size(h) - by
+        return let(F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + by, n), lambda a, b: F.xxhash64(a, b)), body)
+
     def covered(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(h) - (WINDOW - 1))
-        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW))), spread)
+        # windows of two words, then of four, then of eight
+        return paired(h, 1, lambda two: paired(two, 2, lambda four: paired(four, 4, spread)))
 
     def spread(w: Column) -> Column:
         # (hash, place) in order: a window is repeated if a neighbour has its hash
