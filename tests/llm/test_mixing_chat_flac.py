@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import random
+import zlib
 from collections import defaultdict
 from fractions import Fraction
 
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import chat, flac
 from tessella.llm.mixing import mixed_documents, mixed_sizes, sainte_lague, targets
@@ -114,11 +117,196 @@ def test_flac_columns(odd, none):
     got = flac.media_digest(media).collect()
     want = sorted(len((r.text or "").encode()) for r in odd.collect())
     assert sorted(r.n_bytes for r in got) == want and all(r.payload_bytes % 576 == 0 and r.payload_bytes > 0 for r in got)
-    blocks = flac.to_pcm(media).where("doc_id = 6").orderBy("sample_offset").collect()
-    assert blocks and [r.sample_offset for r in blocks][0] == 0
+    # the digests by brute force: the payload from the text, the stored bytes read by the frame-by-frame decoder
+    payload = lambda t: (x := (t or "").encode()) + b"\xff" * (-len(x) % 576 or (0 if x else 576))
+    stored = {hashlib.sha256(bytes(r.media)).hexdigest(): bytes(r.media) for r in media.collect()}
+    brute = []
+    for r in odd.collect():
+        p = payload(r.text)
+        y = [b - 128 for b in p]
+        cross = sum((a < 0) != (b < 0) for a, b in zip(y, y[1:]))
+        brute.append((r.doc_id, len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), f"sum={sum(y)};energy={sum(v * v for v in y)};crossings={cross};peak={max(map(abs, y))}"))
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got if r.doc_id is not None) == sorted(x for x in brute if x[0] is not None)
+    for r in got:
+        again = (flac.decode_any(stored[r.media_sha256])[:, 0] + 128).astype(np.uint8).tobytes()
+        assert len(stored[r.media_sha256]) == r.media_bytes and hashlib.sha256(again).hexdigest() == r.payload_sha256
+    long_ = next(r for r in odd.collect() if len(r.text or "") > 30_000)
+    blocks = flac.to_pcm(media).where(F.col("doc_id").eqNullSafe(F.lit(long_.doc_id))).orderBy("sample_offset").collect()
+    assert all(r.sample_offset % flac.PCM_BLOCK == 0 and (r.channels, r.bits) == (1, 8) for r in blocks) and blocks[0].sample_offset == 0 and len(blocks) > 1
+    assert flac.to_pcm(media.withColumn("media", F.lit(None).cast("binary"))).collect() == []
     assert flac.media_digest(flac.to_flac(none)).collect() == []
 
 
+class Bits:
+    """A writer of FLAC frames of its own, to read by the decoder."""
+
+    def __init__(self):
+        self.s = ""
+
+    def put(self, x, n):
+        self.s += format(x & ((1 << n) - 1), f"0{n}b") if n else ""
+        return self
+
+    def bytes(self):
+        return int(self.s + "0" * (-len(self.s) % 8), 2).to_bytes((len(self.s) + 7) // 8)
+
+
+def crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << bits - 8
+        for _ in range(8):
+            c = (c << 1) ^ (poly if c >> bits - 1 else 0)
+            c &= (1 << bits) - 1
+    return c
+
+
+def subframe(w, x, bits, kind, wasted=0):
+    w.put(0, 1).put({"constant": 0, "verbatim": 1, "fixed3": 11, "lpc2": 33}[kind], 6).put(bool(wasted), 1)
+    if wasted:
+        w.put(1, wasted)
+        x, bits = [v >> wasted for v in x], bits - wasted
+    if kind == "constant":
+        return w.put(x[0], bits)
+    if kind == "verbatim":
+        for v in x:
+            w.put(v, bits)
+        return w
+    order = 3 if kind == "fixed3" else 2
+    for v in x[:order]:
+        w.put(v, bits)
+    if kind == "lpc2":
+        w.put(9, 4).put(4, 5).put(30, 10).put(-15, 10)
+        r = [x[i] - ((30 * x[i - 1] - 15 * x[i - 2]) >> 4) for i in range(2, len(x))]
+        w.put(1, 2).put(2, 4)  # 5-bit parameters, four partitions
+        parts, width = 4, 5
+    else:
+        r = [x[i] - 3 * x[i - 1] + 3 * x[i - 2] - x[i - 3] for i in range(3, len(x))]
+        w.put(0, 2).put(0, 4)
+        parts, width = 1, 4
+    at = 0
+    for p in range(parts):
+        m = len(x) // parts - (order if p == 0 else 0)
+        own, at = r[at : at + m], at + m
+        if p == 2:  # an escaped partition
+            w.put((1 << width) - 1, width).put(28, 5)
+            for v in own:
+                w.put(v, 28)
+        else:
+            k = 9
+            w.put(k, width)
+            for v in own:
+                u = v << 1 if v >= 0 else -2 * v - 1
+                w.put(1, (u >> k) + 1).put(u, k)
+    return w
+
+
+def stream_of(frames, total, rate, channels, bits, samples):
+    pcm = b"".join(int(v).to_bytes(-(-bits // 8), "little", signed=True) for row in samples for v in row)
+    info = (16).to_bytes(2) + (4096).to_bytes(2) + bytes(6) + ((rate << 44) | (channels - 1 << 41) | (bits - 1 << 36) | total).to_bytes(8) + hashlib.md5(pcm).digest()
+    return b"fLaC" + b"\x00" + (34).to_bytes(3) + info + b"\x84" + (4).to_bytes(3) + b"note" + b"".join(frames)
+
+
+def frame(number, n, place, size_code, subframes):
+    w = Bits().put(0xFFF8, 16).put(7, 4).put(9, 4).put(place, 4).put(size_code, 3).put(0, 1)
+    if number < 128:
+        w.put(number, 8)
+    else:
+        w.put(0xC0 | number >> 6, 8).put(0x80 | number & 63, 8)
+    w.put(n - 1, 16)
+    w.put(crc(w.bytes(), 0x07, 8), 8)
+    for args in subframes:
+        subframe(w, *args)
+    data = w.bytes()
+    return data + crc(data, 0x8005, 16).to_bytes(2)
+
+
+def test_flac_of_another_encoder(spark):
+    """16 bits, stereo in all four codings, other block sizes, wasted bits, partitions, escapes, no seek table; mono with 24 bits."""
+    rng = np.random.default_rng(3)
+    left = (8000 * np.sin(np.arange(400) / 9) + rng.integers(-300, 300, 400)).astype(int)
+    right = (left * 0.9 + rng.integers(-50, 50, 400)).astype(int)
+    frames, want = [], []
+    for i, (place, kinds) in enumerate([(1, ("lpc2", "fixed3")), (8, ("fixed3", "lpc2")), (9, ("lpc2", "verbatim")), (10, ("verbatim", "lpc2"))]):
+        a, b = left[100 * i : 100 * i + 100].tolist(), right[100 * i : 100 * i + 100].tolist()
+        side = [x - y for x, y in zip(a, b)]
+        coded = {1: (a, b), 8: (a, side), 9: (side, b), 10: ([x + y >> 1 for x, y in zip(a, b)], side)}[place]
+        bits = {1: (16, 16), 8: (16, 17), 9: (17, 16), 10: (16, 17)}[place]
+        frames.append(frame(127 + i, 100, place, 4, list(zip(coded, bits, kinds))))
+        want += list(zip(a, b))
+    quiet = [64 * x for x in range(-8, 8)]
+    frames.append(frame(200, 16, 1, 0, [(quiet, 16, "verbatim", 6), ([5] * 16, 16, "constant")]))
+    want += [(x, 5) for x in quiet]
+    stream = stream_of(frames, len(want), 44100, 2, 16, want)
+    assert flac.decode_any(stream).tolist() == [list(x) for x in want]
+    high = rng.integers(-(1 << 23), 1 << 23, 40).tolist()
+    mono = stream_of([frame(0, 40, 0, 6, [(high, 24, "verbatim")])], 0, 96000, 1, 24, [(x,) for x in high])
+    assert flac.decode_any(mono)[:, 0].tolist() == high
+    own = flac.encode([flac.padded(b"between two strangers")])[0]
+    assert [len(x) for x in flac.decode([stream, own, mono])] == [416, 576, 40]
+    got = flac.to_pcm(spark.createDataFrame([(1, bytearray(stream)), (2, None), (3, bytearray(mono))], "doc_id int, media binary")).collect()
+    pcm = b"".join(int(v).to_bytes(2, "little", signed=True) for row in want for v in row)
+    assert [(r.doc_id, r.sample_offset, r.channels, r.bits) for r in got] == [(1, 0, 2, 16), (3, 0, 1, 24)] and bytes(got[0].pcm) == pcm
+    for at in (60, 120, len(stream) - 5):
+        broken = bytearray(stream)
+        broken[at] ^= 16
+        with pytest.raises(ValueError):
+            flac.decode_any(bytes(broken))
+    for bad in (b"", b"RIFF", stream[:30], stream[:-40]):
+        with pytest.raises(ValueError):
+            flac.decode_any(bad)
+
+
+def test_flac_with_few_seek_points(monkeypatch):
+    monkeypatch.setattr(flac, "SEEK_BYTES", 18 * 3)
+    p = flac.padded(bytes(range(200)) * 40)
+    stream = flac.encode([p])[0]
+    assert 0 < len(flac.head_of(stream).samples) <= 3 and (flac.decode([stream])[0][:, 0] + 128).astype(np.uint8).tobytes() == p
+
+
+def test_sizes_and_shares_of_many_sources(spark):
+    """No cap that a dirty source column reaches; what is taken follows from blocks and quotas by brute force."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w ', repeat('v ', int(id % 7))) AS text", "concat('s', id % 1500) AS source")
+    got = mixed_sizes(docs, block=2).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.source] += r.size
+    names = sorted(sizes)
+    want = targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    quota = dict(zip(names, sainte_lague(round(sum(sizes.values()) / 2), want)))
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.target == float(want[names.index(r.source)]) and r.source_size == sizes[r.source]
+    for s in names:
+        blocks = max(1, round(Fraction(sizes[s], 2)))
+        passes, rest = divmod(min(quota[s], 3 * blocks), blocks)
+        low, high = passes * sizes[s] + rest * (sizes[s] // blocks), passes * sizes[s] + rest * -(-sizes[s] // blocks)
+        assert low <= taken[s] <= high, s
+
+
+def test_mix_with_clashing_names(spark):
+    rows = [(i, "word " * 20, "ab"[i % 2], i, "x", 1, 2, "s", 3, 4) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, _source string, _id int, _print int, print string, nth int, copies int")
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(map(tuple, docs.collect()))
+
+
+def test_deeply_nested_json(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "{"), (4, '{"a":' * 5000 + "1" + "}" * 5000), (5, '{"prompt": "p", "response": "r"}')], "id int, r string")
+    got = {r.id: r.turns for r in chat.canonical_json(df, id="id", record="r").collect()}
+    assert all(got[i] is None for i in (1, 2, 3, 4)) and [tuple(t) for t in got[5]] == [("user", "p"), ("assistant", "r")]
+
+
+def test_turn_rows_with_more_columns(spark):
+    df = spark.createDataFrame([(1, 2, "assistant", "b", "x"), (1, 1, "user", "a", "y"), (None, None, None, None, None)], "conv_id long, turn long, role string, text string, turns string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical_rows(df).collect()}
+    assert got == {1: [("user", "a"), ("assistant", "b")], None: [("", "")]}
+    with pytest.raises(ValueError):
+        chat.canonical_rows(df.drop("role"))
+
+
 def test_records_with_more_fields(spark):
     said, turns = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], [("user", "a"), ("assistant", "b")]
     cases = [

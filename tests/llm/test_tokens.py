@@ -9,6 +9,7 @@ import pytest
 from conftest import texts
 from tokenizers import Tokenizer
 
+from tessella.llm import tokens
 from tessella.llm.packing import differencing, packed, windows
 from tessella.llm.tokens import count_huge, token_counts
 from tessella.llm.wordbpe import WordBpe
@@ -33,8 +34,38 @@ def test_ids_are_the_library_s(library):
 
 @pytest.mark.parametrize("chunk,overlap", [(64, 4), (500, 16), (5000, 64)])
 def test_splicing_chunks(library, chunk, overlap):
-    bpe = WordBpe.at(PATH)
-    assert [count_huge(bpe, t, chunk, overlap) for t in ODD] == [len(library(t)) for t in ODD]
+    whole = WordBpe.at(PATH).whole
+    assert [count_huge(whole, t, chunk, overlap) for t in ODD] == [len(library(t)) for t in ODD]
+
+
+class _Unsteady:
+    """A tokenizer whose ids depend on where a chunk starts, for its first 40 characters: what an overlap is there to outlast."""
+
+    def __init__(self, whole):
+        self.whole = whole
+
+    def encode(self, text, add_special_tokens=False):
+        e = self.whole.encode(text, add_special_tokens=False)
+        return type("E", (), {"ids": [i + 1 if a < 40 else i for i, (a, _) in zip(e.ids, e.offsets)], "offsets": e.offsets})
+
+
+def test_overlaps_are_widened_until_chunks_align(library):
+    whole = WordBpe.at(PATH).whole
+    text = " ".join(f"word{i} it's" for i in range(400))
+    seen = []
+    real = tokens.splice
+
+    def splice(*a):
+        seen.append(real(*a))
+        return seen[-1]
+
+    tokens.splice = splice
+    try:
+        assert count_huge(_Unsteady(whole), text, 300, 16) == len(library(text))
+    finally:
+        tokens.splice = real
+    assert None in seen and any(x is not None for x in seen)
+    assert count_huge(whole, "é" * 5000, 64, 4) == len(library("é" * 5000)) and count_huge(whole, "", 64, 4) == 0
 
 
 def test_counts(odd, none, library):
