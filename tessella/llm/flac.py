@@ -1,11 +1,12 @@
-"""FLAC columns: byte payloads as lossless 8-bit mono FLAC, and back to PCM blocks with seekable sample offsets.
+"""FLAC columns: byte payloads as lossless 8-bit mono FLAC, and FLAC streams back to PCM blocks with seekable sample offsets.
 
-Frames hold 576 samples. encode() tries the constant, fixed (order 0, 1) and a quantised order-4 linear predictor
-for each frame, Rice-codes the residual, and falls back to verbatim; a seek point for each frame lets decode() read all
-frames of a batch side by side. decode() checks the frame header's CRC-8, the frame's CRC-16 and the stream's MD5
-and raises on the first that differs.
+encode() writes frames of 576 samples. It tries the constant, fixed (order 0, 1) and a quantised order-4 linear predictor
+for each frame, Rice-codes the residual, and falls back to verbatim. A seek point for each frame (for every k-th, where the table would pass the
+format's 16 MB) lets decode() read all frames of a batch side by side. Any other stream (8 to 24 bits, up to 8 channels, any block size, side
+channels, wasted bits, partitions, with or without a seek table) is read frame by frame by decode_any().
+Both check each frame header's CRC-8, each frame's CRC-16 and the stream's MD5, and raise on the first that differs.
 
-A null or empty text is stored as one frame of bytes 255. Memory is bounded by one Arrow batch plus LANES frames at work.
+A null or empty text is stored as one frame of bytes 255. Memory is bounded by one Arrow batch, or one longer stream, plus LANES frames at work.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import few, raw, ship, strings, table
 
-BLOCK, RATE, PAD, LANES, ORDER, PRECISION, SHIFT = 576, 8000, 255, 4096, 4, 9, 6
+BLOCK, RATE, PAD, LANES, ORDER, PRECISION, SHIFT, SEEK_BYTES = 576, 8000, 255, 4096, 4, 9, 6, (1 << 24) - 18
 #: Fixed predictors of orders 0 to 4, as the format defines them.
 FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]], np.int64)
 
@@ -207,28 +210,47 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         seek = np.zeros(n, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
         seek["sample"], seek["n"] = np.arange(n) * BLOCK, BLOCK
         seek["offset"][1:] = np.cumsum(sizes[:-1])
-        if seek.nbytes >= 1 << 24:
-            raise ValueError("a payload of over 500 MB needs several streams")
+        seek = seek[:: -(-seek.nbytes // SEEK_BYTES)]
         out.append(b"".join([b"fLaC\x00\x00\x00\x22", info, b"\x83", seek.nbytes.to_bytes(3), seek.tobytes(), *own]))
     return out
 
 
-def seek_table(stream: bytes) -> tuple[np.ndarray, np.ndarray, int, bytes]:
-    """The seek points' samples and byte offsets in the stream, the number of samples, the MD5."""
+@dataclass
+class Info:
+    """What the head of a stream says; first is where its frames begin."""
+
+    first: int
+    rate: int
+    channels: int
+    bits: int
+    total: int
+    md5: bytes
+    samples: np.ndarray
+    offsets: np.ndarray
+
+
+def head_of(stream: bytes) -> Info:
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, last, info, seek = 4, False, b"", None
+    at, last, info, seek = 4, False, b"", np.zeros(0, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("the head of a stream is cut short")
         last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4])
         if kind == 0:
             info = stream[at + 4 : at + 4 + size]
         elif kind == 3:
-            seek = np.frombuffer(stream, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")], size // 18, at + 4)
+            seek = np.frombuffer(stream, seek.dtype, size // 18, at + 4)
         at += 4 + size
-    total = int.from_bytes(info[10:18]) & ((1 << 36) - 1)
-    if seek is None or len(seek) * BLOCK != total:
-        raise ValueError("a seek point for each frame is needed")
-    return seek["sample"].astype(np.int64), seek["offset"].astype(np.int64) + at, total, info[18:34]
+    if len(info) < 34:
+        raise ValueError("no stream information")
+    x = int.from_bytes(info[10:18])
+    return Info(at, x >> 44, (x >> 41 & 7) + 1, (x >> 36 & 31) + 1, x & ((1 << 36) - 1), info[18:34], seek["sample"].astype(np.int64), seek["offset"].astype(np.int64) + at)
+
+
+def _own(head: Info, stream: bytes) -> bool:
+    """Whether decode() can read the stream's frames side by side: this encoder's profile, and a seek point for each frame."""
+    return (head.channels, head.bits, head.rate) == (1, 8, RATE) and len(head.samples) * BLOCK == head.total > 0 and stream[head.first : head.first + 4] == b"\xff\xf8\x24\x02"
 
 
 def _decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, checked: bool = False) -> np.ndarray:
@@ -364,28 +386,195 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, checked
     return np.ascontiguousarray(out[most:].T)
 
 
+#: Fixed values of the format: block sizes, and bits a sample, by their codes in a frame header.
+_BLOCKS = {1: 192} | {c: 576 << c - 2 for c in range(2, 6)} | {c: 256 << c - 8 for c in range(8, 16)}
+_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+
+
+class _Short(ValueError):
+    """The bits of a frame end too early."""
+
+
+class _Reader:
+    """Bits of one frame, as text of 0s and 1s: where the next 1 stands is one search."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.at = bin(int.from_bytes(b"\x01" + data))[3:], 0
+
+    def take(self, n: int) -> int:
+        self.at += n
+        if self.at > len(self.bits):
+            raise _Short("a frame is cut short")
+        return int(self.bits[self.at - n : self.at], 2) if n else 0
+
+    def signed(self, n: int) -> int:
+        x = self.take(n)
+        return x - (1 << n) if n and x >> n - 1 else x
+
+    def unary(self) -> int:
+        one = self.bits.find("1", self.at)
+        if one < 0:
+            raise _Short("a frame is cut short")
+        n, self.at = one - self.at, one + 1
+        return n
+
+    def number(self) -> None:
+        """Skip a frame or sample number: its first byte says how many follow."""
+        lead = self.take(8)
+        for _ in range(max(0, 7 - (lead ^ 0xFF).bit_length()) if lead >= 0xC0 else 0):
+            self.take(8)
+
+
+def _residuals(r: _Reader, n: int, order: int) -> list[int]:
+    method, parts = r.take(2), r.take(4)
+    if method > 1:
+        raise ValueError("residual coding method")
+    if n % (1 << parts) or n >> parts < order:
+        raise ValueError("residual partitions")
+    width, out = 4 + method, []
+    for p in range(1 << parts):
+        k = r.take(width)
+        m = (n >> parts) - (order if p == 0 else 0)
+        if k == (1 << width) - 1:
+            raw_bits = r.take(5)
+            out += [r.signed(raw_bits) for _ in range(m)]
+        else:
+            for _ in range(m):
+                u = r.unary() << k | r.take(k)
+                out.append(u >> 1 ^ -(u & 1))
+    return out
+
+
+def _subframe(r: _Reader, n: int, bits: int) -> np.ndarray:
+    if r.take(1):
+        raise ValueError("subframe header")
+    kind = r.take(6)
+    wasted = r.unary() + 1 if r.take(1) else 0
+    bits -= wasted
+    if kind == 0:
+        out = [r.signed(bits)] * n
+    elif kind == 1:
+        out = [r.signed(bits) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind & 7 if kind < 32 else (kind & 31) + 1
+        out = [r.signed(bits) for _ in range(order)]
+        if kind < 32:
+            coefs, shift = FIXED[order][:order].tolist(), 0
+        else:
+            precision = r.take(4) + 1
+            shift = r.signed(5)
+            if precision > 15 or shift < 0:
+                raise ValueError("predictor")
+            coefs = [r.signed(precision) for _ in range(order)]
+        for x in _residuals(r, n, order):
+            out.append(x + (sum(c * y for c, y in zip(coefs, out[: -order - 1 : -1])) >> shift) if order else x)
+    else:
+        raise ValueError("subframe type")
+    return np.array(out, np.int64) << wasted
+
+
+def _frame(stream: bytes, at: int, head: Info, times: int = 2) -> tuple[np.ndarray, int]:
+    """Samples (time by channel) of the frame at a place, and where it ends; it is looked for in `times` the bytes of its bare samples, then in more."""
+    try:
+        return _frame_within(stream, at, head, times)
+    except _Short:
+        if at + times * 4096 > len(stream):
+            raise
+        return _frame(stream, at, head, 8 * times)
+
+
+def _frame_within(stream: bytes, at: int, head: Info, times: int) -> tuple[np.ndarray, int]:
+    if at + 6 > len(stream) or stream[at] != 0xFF or stream[at + 1] & 0xFE != 0xF8:
+        raise ValueError("frame header")
+    code, place = stream[at + 2] >> 4, stream[at + 3] >> 4
+    most = 65536 if code in (6, 7) else _BLOCKS.get(code, 0)
+    bits = _BITS.get(stream[at + 3] >> 1 & 7, head.bits)
+    r = _Reader(stream[at : at + 64 + times * most * head.channels * (bits + 1) // 8])
+    r.take(32)
+    r.number()
+    n = r.take(8) + 1 if code == 6 else r.take(16) + 1 if code == 7 else most
+    rate = stream[at + 2] & 15
+    r.take(8 if rate == 12 else 16 if rate in (13, 14) else 0)
+    if not n or place > 10:
+        raise ValueError("frame header")
+    size = r.at // 8
+    if _crc(stream[at : at + size], _CRC8, 8) != r.take(8):
+        raise ValueError("CRC-8 of a frame header differs")
+    channels = place + 1 if place < 8 else 2
+    x = np.stack([_subframe(r, n, bits + ((place, c) in ((8, 1), (9, 0), (10, 1)))) for c in range(channels)], 1)
+    if place == 8:
+        x[:, 1] = x[:, 0] - x[:, 1]
+    elif place == 9:
+        x[:, 0] += x[:, 1]
+    elif place == 10:
+        mid, side = x[:, 0] << 1 | x[:, 1] & 1, x[:, 1].copy()
+        x = np.stack([mid + side >> 1, mid - side >> 1], 1)
+    end = at + -(-r.at // 8) + 2
+    if _crc(stream[at:end], _CRC16, 16):
+        raise ValueError("CRC-16 of a frame differs")
+    return x, end
+
+
+def _crc(data: bytes, table_: np.ndarray, bits: int) -> int:
+    crc, steps, mask = 0, table_.tolist(), (1 << bits) - 1
+    for b in data:
+        crc = (crc << 8 & mask) ^ steps[(crc >> bits - 8) ^ b]
+    return crc
+
+
+def pcm_bytes(samples: np.ndarray, bits: int) -> bytes:
+    """Samples as signed little-endian whole bytes, channel by channel within a moment."""
+    width = -(-bits // 8)
+    if width == 1:
+        return samples.astype(np.int8).tobytes()
+    return np.ascontiguousarray(samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def decode_any(stream: bytes) -> np.ndarray:
+    """Samples (time by channel) of any FLAC stream, checked against its checksums."""
+    head = head_of(stream)
+    at, parts = head.first, []
+    while at < len(stream):
+        x, at = _frame(stream, at, head)
+        parts.append(x)
+    out = np.concatenate(parts) if parts else np.zeros((0, head.channels), np.int64)
+    if head.total and len(out) != head.total:
+        raise ValueError("a stream is cut short")
+    if any(head.md5) and hashlib.md5(pcm_bytes(out, head.bits)).digest() != head.md5:
+        raise ValueError("MD5 of a stream differs")
+    return out
+
+
 def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The int8 samples of each stream, checked against its checksums."""
-    starts, ends, sizes, sums_, at = [], [], [], [], 0
-    for s in streams:
-        sample, offset, total, md5 = seek_table(s)
-        starts.append(offset + at)
-        ends.append(np.append(offset[1:], len(s)) + at)
-        sizes.append(total)
-        sums_.append(md5)
-        at += len(s)
-    data = np.frombuffer(b"".join([*streams, bytes(16)]), np.uint8)
+    """The samples of each stream, checked against its checksums: int8 for this encoder's, time by channel for others."""
+    heads = [head_of(s) for s in streams]
+    own = [i for i, (h, s) in enumerate(zip(heads, streams)) if _own(h, s)]
+    starts, ends, at = [], [], 0
+    for i in own:
+        starts.append(heads[i].offsets + at)
+        ends.append(np.append(heads[i].offsets[1:], len(streams[i])) + at)
+        at += len(streams[i])
+    data = np.frombuffer(b"".join([*(streams[i] for i in own), bytes(16)]), np.uint8)
     start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
     parts = []
     for a in range(0, len(start), LANES):
         lo, hi = int(start[a]), int(end[min(a + LANES, len(start)) - 1])
         parts.append(_decode_frames(data[lo : hi + 16], start[a : a + LANES] - lo, end[a : a + LANES] - lo).astype(np.int8).ravel())
     samples = np.concatenate(parts) if parts else np.zeros(0, np.int8)
-    out = np.split(samples, np.cumsum(sizes)[:-1]) if sizes else []
-    for x, md5 in zip(out, sums_):
-        if hashlib.md5(x.tobytes()).digest() != md5:
+    found = dict(zip(own, np.split(samples, np.cumsum([heads[i].total for i in own])[:-1]))) if own else {}
+    for i, x in found.items():
+        if hashlib.md5(x.tobytes()).digest() != heads[i].md5:
             raise ValueError("MD5 of a stream differs")
-    return out
+    return [found[i] if i in found else decode_any(s) for i, s in enumerate(streams)]
+
+
+PCM_BLOCK = 64 * BLOCK
+
+
+def pcm_blocks(samples: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of PCM with the offset, in samples of one channel, at which each can be sought."""
+    for a in range(0, len(samples), PCM_BLOCK):
+        yield a, pcm_bytes(samples[a : a + PCM_BLOCK], bits)
 
 
 def padded(text: bytes) -> bytes:
@@ -409,21 +598,22 @@ def to_flac(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def to_pcm(media: DataFrame, *, id: str = "doc_id") -> DataFrame:
-    """A row for each block of PCM: id, sample_offset (seekable), pcm (8-bit signed samples); the file's checksums hold."""
+    """A row for each block of PCM: id, sample_offset (seekable), channels, bits, pcm (signed little-endian samples); the file's checksums hold. Null media have no blocks."""
     ship(media.sparkSession)
     kind = media.schema[id].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches):
-            ids, offsets, blocks = [], [], []
-            for i, x in enumerate(decode(b.column(1).to_pylist())):
-                for a in range(0, len(x), 64 * BLOCK):
-                    ids.append(i)
-                    offsets.append(a)
-                    blocks.append(x[a : a + 64 * BLOCK].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(offsets, pa.int64()), pa.array(blocks, pa.binary())], [id, "sample_offset", "pcm"])
+            some = pc.is_valid(b.column(1)).to_numpy(zero_copy_only=False).nonzero()[0]
+            streams, rows = b.column(1).take(pa.array(some)).to_pylist(), []
+            for i, s, x in zip(some.tolist(), streams, decode(streams)):
+                head = head_of(s)
+                rows += [(i, a, head.channels, head.bits, block) for a, block in pcm_blocks(x, head.bits)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            i, *columns = (pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(i), *columns], [id, "sample_offset", "channels", "bits", "pcm"])
 
-    return media.select(id, "media").mapInArrow(read, f"`{id}` {kind}, sample_offset long, pcm binary")
+    return media.select(id, "media").mapInArrow(read, f"`{id}` {kind}, sample_offset long, channels int, bits int, pcm binary")
 
 
 def features(x: np.ndarray) -> str:
@@ -441,8 +631,12 @@ def media_digest(media: DataFrame, *, id: str = "doc_id") -> DataFrame:
             rows = []
             streams = b.column(2).to_pylist()
             for s, x in zip(streams, decode(streams)):
-                p = (x.view(np.uint8) ^ 0x80).tobytes()
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), features(x)))
+                size, digest, tail = 0, hashlib.sha256(), b""
+                for _, block in pcm_blocks(x, 8):  # the payload, from the blocks of PCM: their bytes with the top bit flipped back
+                    p = (np.frombuffer(block, np.uint8) ^ 0x80).tobytes()
+                    digest.update(p)
+                    size, tail = size + len(p), (tail + p[-32:])[-32:]
+                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), features(x)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
