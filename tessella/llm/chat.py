@@ -11,7 +11,7 @@ strings inside a text can neither open nor close a turn and parse() gives back e
 mask covers the text of assistant turns.
 
 Null role and null text count as empty. Rows of a turn-row table stand in order of turn (null first), role, text;
-a null conversation id is one conversation. A layout without a mapping gives null turns, never an error. An empty table gives an empty result.
+a null conversation id is one conversation. A conversation is one row, so its turns must fit a task, as its formatted text must. A layout without a mapping gives null turns, never an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 
 def canonical_json(records: DataFrame, *, id: str, record: str) -> DataFrame:
-    """id, fingerprint and turns of JSON records, each in a layout of its own. Text that is no JSON has null turns."""
+    """id, fingerprint and turns of JSON records, each in a layout of its own. Null, text that is no JSON, and JSON nested too deeply have null turns."""
     ship(records.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def canonical_json(records: DataFrame, *, id: str, record: str) -> DataFrame:
             for x in b.column(1).to_pylist():
                 try:
                     mark, found = record_turns(json.loads(x))
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):  # no JSON, or nested beyond what can be read
                     mark, found = None, None
                 marks.append(mark)
                 turns.append(None if found is None else [{"role": r, "text": t} for r, t in found])
@@ -160,11 +160,11 @@ def canonical_json(records: DataFrame, *, id: str, record: str) -> DataFrame:
 
 def canonical_rows(df: DataFrame) -> DataFrame:
     """id and turns of a table with a row for each turn; its schema's fingerprint selects the mapping. Other columns may stand beside the mapping's."""
-    m = MAPPINGS.get(fingerprint(schema_paths(df.schema)))
-    if m is None:  # extra columns: the first turn-row mapping whose fields are all there
-        m = next((x for x in MAPPINGS.values() if x.rows and set(x.rows) <= set(df.columns)), None)
-    if m is None or not m.rows:
+    there = schema_paths(df.schema)
+    fit = [m for paths, m in LAYOUTS.items() if m.rows and fingerprint(p for p in there if p in paths) == fingerprint(paths)]
+    if not fit:
         raise ValueError("no turn-row mapping has these fields")
+    m = fit[0]
     id, order, role, text = m.rows
     blank = F.lit("")
     turn = F.struct(F.col(order).alias("turn"), F.coalesce(F.col(role), blank).alias("role"), F.coalesce(F.col(text), blank).alias("text"))
@@ -252,6 +252,8 @@ TRICKY = r"\### Assistant: </turn> ok"
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    turns = canonical_rows(rows.unionByName(extra))
+    # the added conversation comes as a record of messages, the others as a row for each turn: two layouts, one canonical form
+    record = json.dumps({"messages": [{"role": r, "content": TRICKY} for r in ("user", "assistant")]})
+    extra = canonical_json(spark.createDataFrame([(-7, record)], "conv_id long, record string"), id="conv_id", record="record")
+    turns = canonical_rows(rows).unionByName(extra.select("conv_id", "turns"))
     return read_back(format_chat(turns, id="conv_id"), id="conv_id")
