@@ -8,12 +8,14 @@ linked sets agree on whole segments.
 * Index: a set emits, in its own band, a key for each non-empty segment; for the first few (reserve) segments also the
   one-deletion neighbourhood, a key for the segment without each of its hashes.
 * Probe: the smaller set of a pair needs allocations that add up to H + 1: 1 asks for an equal segment, 2 for one that
-  differs by at most one hash (the segment, its deletions, and the index's deletions). Costs decide: the segments with most hashes, which
-  are shared least, get 1; empty segments, which most sets share, get 0; what is then missing is raised to 2 on the cheapest
-  reserve segments. Sets for which even that is too little go through a join on all their hashes.
+  differs by at most one hash (the segment, its deletions, and the index's deletions). All non-empty segments get 1, in the next band only
+  EXTRA more than are needed, those with most hashes, which are shared least; empty segments, which most sets share, get 0; what is then missing is
+  raised to 2 on the cheapest reserve segments. Sets for which even that is too little go through a join on all their hashes.
 * A key's sets meet in a reducer; a text with over COPIES copies emits its keys once. Small runs give their pairs. A long run gives the
-  pairs of its least set and keeps its members. In a run whose members these links don't connect, sketches tell which members may link with
-  one of another component, in blocks of at most 2 * WIDE members; the whole sets of these give, in blocks of about 2 * ENTRIES hashes, links
+  pairs of its least set and keeps its members. A set that asked for e segments more than H + 1 shares at least e + 1 of them with each that it links
+  with, so it leaves out its e longest runs: a passage that many texts hold brings no comparisons of texts that have more to tell them by.
+  In a run whose members these links don't connect, sketches tell which members may link with one of another component, in blocks of about
+  WIDE probes and WIDE others; the whole sets of these give, in blocks of about 2 * ENTRIES hashes, links
   that join all that links join, at most one fewer than the members, not all pairs.
 * A sketch holds the parities of a set's hashes in 2^k >= 2n bits. The bits in which two sketches differ are a lower bound of the symmetric
   difference, so a pair with more than a seventh of its sizes' sum cannot link: no text is fetched for it, and no link is lost.
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from .common import each_once, few, forget, hash_strings, mix64, numbered, place, raw, release, ship, strings, sums, table, text_hash, words_of, written
 from .components import components
 
-WORDS, RUN, WIDE, STRIP, ENTRIES, SENT_CLASSES, SLICE = 5, 16, 16_384, 64, 1_000_000, 2_000_000, 2 << 20
+WORDS, RUN, WIDE, STRIP, EXTRA, ENTRIES, SUBPARTS, SENT_CLASSES, SLICE = 5, 16, 16_384, 64, 8, 1_000_000, 4, 2_000_000, 2 << 20
 #: Similarity 3/4: linked sizes differ by 4/3 at most, and the symmetric difference is at most a seventh of the sizes' sum.
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -89,15 +91,6 @@ def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _rows_of_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Of binaries that stand in order of length: their lengths, and for each length the 64-bit words of those that have it."""
-    own = pa.concat_arrays([*(x.cast(pa.large_binary()) for x in column.chunks), pa.array([], pa.large_binary())])
-    data, at = raw(own)
-    size = np.diff(at)
-    ends = [*np.flatnonzero(np.diff(size)) + 1, len(size)]
-    return size, [(int(size[i]), data[at[i] : at[j]].copy().view("<u8").reshape(j - i, -1)) for i, j in zip([0, *ends[:-1]], ends) if j > i]
-
-
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs a, b whose sketches leave room for a link; rows a, b, n and sketch of both."""
     for b in batches:
@@ -112,34 +105,46 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _active(group: pa.Table) -> pa.Table:
     """Of one block of a long run: the members that may link with one of another component, by roles, sizes and sketches.
 
-    Members stand in order of size, so those that one can link with are next to it, and all of these have sketches as long as its own.
+    A probe is no larger than the set it looks for. Members of the largest component are not compared with each other.
     """
     order = np.argsort(group.column("n").to_numpy(), kind="stable")
-    n, part, component, role = (group.column(c).to_numpy()[order] for c in ("n", "part", "component", "role"))
-    size, data = _rows_of_bytes(group.column("sketch").take(pa.array(order)))
-    words = size // 8
-    probe, index, across = role & PROBE != 0, role & INDEX != 0, part[0] != part[-1] or len(np.unique(part)) > 1
-    on, bits, level = np.zeros(len(n), bool), np.zeros((0, 0), np.uint64), 0
-    last = np.searchsorted(n, 4 * n // 3, side="right")
-    a = 0
-    while a < len(n):
-        if words[a] != level:
-            level = int(words[a])
-            bits = np.concatenate([np.zeros((a, level), np.uint64), *(_folded(x, level) for w, x in data if w >= 8 * level)])
-        z = min(a + STRIP, int(np.searchsorted(words, level, side="right")))
-        i, j = slice(a, z), slice(a, int(last[z - 1]))
-        differ = np.zeros((z - a, j.stop - a), np.int32)
-        for k in range(level):
-            differ += np.bitwise_count(bits[i, k][:, None] ^ bits[None, j, k][0])
-        both = n[i][:, None] + n[j][None, :]
-        ok = (7 * differ <= both) & (3 * n[j][None, :] <= 4 * n[i][:, None]) & (component[i][:, None] != component[j][None, :])
-        ok &= (probe[i][:, None] & index[j][None, :]) | (index[i][:, None] & probe[j][None, :])
-        if across:
-            ok &= part[i][:, None] != part[j][None, :]
-        on[i] |= ok.any(1)
-        on[j] |= ok.any(0)
-        a = z
-    return group.select(["run", "block", "name", "component", "n"]).take(pa.array(np.sort(order[on])))
+    n, component, role = (group.column(c).to_numpy()[order] for c in ("n", "component", "role"))
+    taken = group.column("sketch").take(pa.array(order))
+    data, at = raw(pa.concat_arrays([*(x.cast(pa.large_binary()) for x in taken.chunks), pa.array([], pa.large_binary())]))
+    data, at = data.copy().view("<u8"), at // 8
+    words, on = np.diff(at), np.zeros(len(n), bool)
+
+    def sketches(own: np.ndarray, level: int) -> np.ndarray:
+        """Of members in order of size, a row for each word of the sketches folded to `level` words."""
+        out = [_folded(data[at[x][:, None] + np.arange(w)], level) for w in np.unique(words[own]).tolist() if len(x := own[words[own] == w])]
+        return np.ascontiguousarray(np.concatenate(out).T)
+
+    def compare(one: np.ndarray, two: np.ndarray) -> None:
+        for level in np.unique(words[one]).tolist() if len(two) else []:
+            own = one[words[one] == level]
+            near = two[(n[two] >= n[own[0]]) & (3 * n[two] <= 4 * n[own[-1]]) & (words[two] >= level)]
+            if not len(near):
+                continue
+            a, b = sketches(own, level), sketches(near, level)
+            step = max(STRIP, (STRIP << 10) // len(near))
+            for i in range(0, len(own), step):
+                x = own[i : i + step]
+                lo, hi = np.searchsorted(n[near], n[x[0]]), np.searchsorted(3 * n[near], 4 * n[x[-1]], side="right")
+                y = near[lo:hi]
+                differ = np.zeros((len(x), len(y)), np.int32)
+                for k in range(level):
+                    differ += np.bitwise_count(a[k, i : i + step][:, None] ^ b[k, lo:hi][None, :])
+                m, o = n[x][:, None], n[y][None, :]
+                ok = (7 * differ <= m + o) & (m <= o) & (3 * o <= 4 * m) & (component[x][:, None] != component[y][None, :])
+                on[x[ok.any(1)]] = True
+                on[y[ok.any(0)]] = True
+
+    kinds, place_, size = np.unique(component, return_inverse=True, return_counts=True)
+    large = place_ == size.argmax()
+    probe, index = role & PROBE != 0, role & INDEX != 0
+    compare(np.flatnonzero(probe & ~large), np.flatnonzero(index))
+    compare(np.flatnonzero(probe & large), np.flatnonzero(index & ~large))
+    return group.select(["run", "name", "component", "n"]).take(pa.array(np.sort(order[on])))
 
 
 def _star(group: pa.Table) -> pa.Table:
@@ -188,10 +193,15 @@ def _plan(band: int) -> tuple[int, int, int]:
     return high, m, min(m, 8 + m // 32)
 
 
+def _cut(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted set: the segment of each hash, and the ends of the segments."""
+    seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # segments of equal width, in order
+    return seg, np.flatnonzero(np.concatenate([seg[1:] != seg[:-1], [True]])) + 1
+
+
 def _segments(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a sorted set: the non-empty segments, the end of each, and the sums of scrambled hashes before each end."""
-    seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # segments of equal width, in order
-    end = np.flatnonzero(np.concatenate([seg[1:] != seg[:-1], [True]])) + 1
+    seg, end = _cut(s, m)
     return seg[end - 1].astype(np.int64), end, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
 
 
@@ -199,7 +209,25 @@ def _keys(band: int, seg: np.ndarray, sum_: np.ndarray, deleted: bool) -> np.nda
     return mix64(sum_ + (seg.astype(np.uint64) * np.uint64(4) + np.uint64(2 * band << 40) + np.uint64(deleted)) * np.uint64(0x9FB21C651E98DF25))
 
 
-INDEX, PROBE = 1, 2
+#: NEXT marks a probe in the band after its own.
+INDEX, PROBE, NEXT = 1, 2, 4
+
+
+def _asked(band: int, own: int, n: int, segments: int) -> tuple[int, int]:
+    """Of a set of n hashes in so many non-empty segments: the allocations it needs in a band, and the segments it asks for."""
+    need = (n + min(_plan(band)[0], 4 * n // 3)) // 7 + 1
+    return need, segments if band == own else min(segments, need + EXTRA + need // EXTRA)
+
+
+def slack(s: np.ndarray) -> tuple[int, int]:
+    """How many of the keys that a set asks for it may leave out, in its own band and in the next."""
+    out, n = [0, 0], len(s)
+    own = int(np.searchsorted(EDGES, n, side="right")) - 1
+    for band in (own, own + 1) if n else ():
+        if 4 * n // 3 >= EDGES[band]:
+            need, asked = _asked(band, own, n, len(_cut(s, _plan(band)[1])[1]))
+            out[band - own] = max(0, asked - need)
+    return out[0], out[1]
 
 
 def signatures(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], bool]:
@@ -207,19 +235,15 @@ def signatures(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], bool]:
     n, out, enough = len(s), [], True
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     for band in (own, own + 1):
-        high, m, reserve = _plan(band)
-        most = min(high, 4 * n // 3)
-        if most < EDGES[band]:
+        _, m, reserve = _plan(band)
+        if 4 * n // 3 < EDGES[band]:
             continue
-        need = (n + most) // 7 + 1
         seg, end, total = _segments(s, m)
         begin = np.concatenate([[0], end[:-1]])
         size, sum_ = end - begin, total[end] - total[begin]
         whole = _keys(band, seg, sum_, False)
-        asked = np.ones(len(seg), bool)
-        if len(seg) > need:
-            asked[:] = False
-            asked[np.argsort(-size, kind="stable")[:need]] = True
+        need, many = _asked(band, own, n, len(seg))
+        asked = np.argsort(-size, kind="stable")[:many]
         in_reserve = np.flatnonzero(seg < reserve)
         # one-deletion neighbourhoods of the reserve segments
         reps = size[in_reserve]
@@ -227,9 +251,10 @@ def signatures(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], bool]:
         at = np.arange(len(each)) - np.repeat(np.cumsum(reps) - reps, reps) + begin[each]
         without = sum_[each] - (total[at + 1] - total[at])
         if band == own:
-            out += [(whole[asked], INDEX | PROBE), (whole[~asked], INDEX), (_keys(band, seg[each], without, True), INDEX)]
+            far = size[each] >= 3  # raised segments have two hashes or more: no other is asked for
+            out += [(whole, INDEX | PROBE), (_keys(band, seg[each[far]], without[far], True), INDEX)]
         else:
-            out.append((whole[asked], PROBE))
+            out.append((whole[asked], PROBE | NEXT))
         lack = need - len(seg)
         if lack > 0:
             able = in_reserve[size[in_reserve] >= 2]
@@ -251,6 +276,11 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _range(top: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a key by the upper 16 of its 48 bits."""
+    return top.astype(np.int64) * parts >> 16
+
+
 def _emit(parts: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
@@ -269,7 +299,8 @@ def _emit(parts: int):
             if not keys:
                 continue
             key, doc, role = np.concatenate(keys), np.concatenate(docs), np.concatenate(roles)
-            part = (key >> np.uint64(48)).astype(np.int64) * parts >> 16
+            key &= np.uint64((1 << 48) - 1)
+            part = _range(key >> np.uint64(32), parts)
             order = np.argsort(key, kind="stable")
             key, doc, role, part = key[order], doc[order], role[order], part[order]
             rows: list[tuple] = []
@@ -277,7 +308,7 @@ def _emit(parts: int):
             for lo, hi in zip(heads, [*heads[1:], len(part)]):
                 p = int(part[lo])
                 used, local = np.unique(doc[lo:hi], return_inverse=True)
-                rows.append((p, _planes(key[lo:hi], 6), _planes(local.astype(np.uint64) << np.uint64(2) | role[lo:hi].astype(np.uint64), 3), names[used].tobytes(), n[used].astype("<u4").tobytes()))
+                rows.append((p, _planes(key[lo:hi], 6), _planes(local.astype(np.uint64) << np.uint64(3) | role[lo:hi].astype(np.uint64), 3), names[used].tobytes(), n[used].astype("<u4").tobytes()))
             rows += [(-1, b"", b"", names[[i]].tobytes(), n[[i]].astype("<u4").tobytes()) for i in rest]
             kinds = (pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["p", "keys", "local", "names", "sizes"])
@@ -285,23 +316,39 @@ def _emit(parts: int):
     return emit
 
 
-_MET = "kind int, a long, b long, n long, role int"
+_MET = "kind int, a long, b long, n long, role int, often long"
+
 
+def _meet(parts: int):
+    """What the keys of one part say. A reducer takes SUBPARTS times ENTRIES keys, in which a set's name and size stand once, and unpacks one range of keys after the other."""
 
-def _meet(group: pa.Table) -> pa.Table:
-    """Pairs of the runs of equal keys (kind 0: a < b); members of long runs (kind 1: a is the run, b the class); kind 2: b needs the join on all hashes."""
-    if group.num_rows and group.column(0)[0].as_py() < 0:
-        short = np.concatenate([np.frombuffer(x, "<i8") for x in group.column(3).to_pylist()])
-        z = np.zeros(len(short), np.int64)
-        return pa.table([pa.array(x) for x in ((z + 2).astype(np.int32), z, short, z, z.astype(np.int32))], names=["kind", "a", "b", "n", "role"])
+    def meet(group: pa.Table) -> pa.Table:
+        if group.num_rows and group.column(0)[0].as_py() < 0:
+            short = np.concatenate([np.frombuffer(x, "<i8") for x in group.column(3).to_pylist()])
+            z = np.zeros(len(short), np.int64)
+            return pa.table([pa.array(x) for x in ((z + 2).astype(np.int32), z, short, z, z.astype(np.int32), z)], names=["kind", "a", "b", "n", "role", "often"])
+        rows = []
+        for p, k, local, names, sizes in zip(*(c.to_pylist() for c in group.columns)):
+            planes = np.frombuffer(k, np.uint8).reshape(6, -1)
+            fine = _range(planes[5].astype(np.int64) << 8 | planes[4], parts * SUBPARTS)
+            ends = np.searchsorted(fine, np.arange(p * SUBPARTS, (p + 1) * SUBPARTS + 1))
+            rows.append((planes, np.frombuffer(local, np.uint8).reshape(3, -1), np.frombuffer(names, "<i8"), np.frombuffer(sizes, "<u4"), ends))
+        return pa.concat_tables([_runs(rows, i) for i in range(SUBPARTS)])
+
+    return meet
+
+
+def _runs(rows: list[tuple], nth_range: int) -> pa.Table:
+    """Pairs of the runs of equal keys (kind 0: a < b); members of long runs (kind 1: a is the run, b the class, often the length); kind 2, from _meet: b needs the join on all hashes."""
     key, name, size, role = [], [], [], []
-    for _, k, local, names, sizes in zip(*(c.to_pylist() for c in group.columns)):
-        x = _unplanes(local, 3)
-        d = (x >> np.uint64(2)).astype(np.int64)
-        key.append(_unplanes(k, 6))
-        name.append(np.frombuffer(names, "<i8")[d])
-        size.append(np.frombuffer(sizes, "<u4")[d].astype(np.int64))
-        role.append((x & np.uint64(3)).astype(np.int64))
+    for k, local, names, sizes, ends in rows:
+        own = slice(ends[nth_range], ends[nth_range + 1])
+        x = _unplanes(local[:, own].tobytes(), 3)
+        d = (x >> np.uint64(3)).astype(np.int64)
+        key.append(_unplanes(k[:, own].tobytes(), 6))
+        name.append(names[d])
+        size.append(sizes[d].astype(np.int64))
+        role.append((x & np.uint64(7)).astype(np.int64))
     key, name, size, role = (np.concatenate(x) for x in (key, name, size, role))
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -317,6 +364,11 @@ def _meet(group: pa.Table) -> pa.Table:
         key, name, size = key[new], name[new], size[new]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
+    if len(key):  # keys that no set asks for, or that none has that is asked, are gone
+        met = np.repeat((np.bitwise_or.reduceat(role, starts) & (INDEX | PROBE)) == INDEX | PROBE, length)
+        key, name, size, role = key[met], name[met], size[met], role[met]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        length = np.diff(np.append(starts, len(key)))
     run = np.repeat(length, length)
     nth = np.arange(len(key)) - np.repeat(starts, length)
     one, two = [], []
@@ -345,8 +397,9 @@ def _meet(group: pa.Table) -> pa.Table:
         np.concatenate([pairs[:, 1], name[own]]),
         np.concatenate([z, size[own]]),
         np.concatenate([z, role[own]]).astype(np.int32),
+        np.concatenate([z, run[own]]),
     ]
-    return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "role"])
+    return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "role", "often"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -409,6 +462,18 @@ def _dealt(runs: DataFrame) -> DataFrame:
     return dealt.withColumn("block", F.least("part", "other") * F.col("blocks") + F.greatest("part", "other"))
 
 
+def _grid(runs: DataFrame) -> DataFrame:
+    """Members of runs in `down` parts of probes and `across` parts of others, once in each block of the grid that their roles need."""
+    spread = F.xxhash64("name")
+    i, j = F.pmod(spread, F.col("down")).cast("int"), F.pmod(spread, F.col("across")).cast("int")
+    asks, has, none = F.col("role").bitwiseAND(PROBE) != 0, F.col("role").bitwiseAND(INDEX) != 0, F.array().cast("array<int>")
+    row = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda y: i * F.col("across") + y)
+    column = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda x: x * F.col("across") + j)
+    dealt = runs.withColumn("block", F.explode(F.array_union(F.when(asks, row).otherwise(none), F.when(has, column).otherwise(none))))
+    here = F.when(asks & (F.floor(F.col("block") / F.col("across")) == i), PROBE).otherwise(0) + F.when(has & (F.col("block") % F.col("across") == j), INDEX).otherwise(0)
+    return dealt.withColumn("role", here)
+
+
 def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Membership (id, n_shingles, name: the class, null without a set), and the component of each linked class (node, component)."""
     spark = docs.sparkSession
@@ -419,16 +484,16 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         for b in few(batches, SLICE):
             sets = shingle_sets(strings(b.column(1)))
             n, names = _class(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), b.column(2)], [id, "n_shingles", "name", "sketch", "hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), pa.array([slack(x) for x in sets], pa.list_(pa.int32())), b.column(2)], [id, "n_shingles", "name", "sketch", "slack", "hash"])
 
-    members = written(docs.select(id, text, text_hash(F.col(text))).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, hash long"), "members")
+    members = written(docs.select(id, text, text_hash(F.col(text))).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, slack array<int>, hash long"), "members")
     total = members.agg(F.sum("n_shingles")).head()[0] or 0
-    parts = max(8, -(-total * 3 // (4 * ENTRIES)))
+    parts = max(8, -(-total * 3 // (4 * SUBPARTS * ENTRIES)))
     once = each_once(docs, text, members.select("hash"))
     sent = once.select("text").mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
-    met = written(sent.groupBy("p").applyInArrow(_meet, _MET), "met")
+    met = written(sent.groupBy("p").applyInArrow(_meet(parts), _MET), "met")
     release(spark)
-    sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch", "hash").dropDuplicates(["name"]), "sketches")
+    sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch", "slack", "hash").dropDuplicates(["name"]), "sketches")
     one = sketches.select(F.col("name").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ak"))
     two = sketches.select(F.col("name").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bk"))
 
@@ -442,15 +507,26 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     links = verified(written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs"))
     release(spark)
     names = components(links)
-    runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role")
+    runs = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("name"), "n", "role", "often")
+    asks, has = F.col("role").bitwiseAND(PROBE) != 0, F.col("role").bitwiseAND(INDEX) != 0
+    # the probes that remain: each set leaves out as many of its longest runs as it has slack, in either band
+    probes = runs.where(asks).select("run", "name", "often", F.when(F.col("role").bitwiseAND(NEXT) != 0, 1).otherwise(0).alias("next"))
+    rank = F.row_number().over(Window.partitionBy("name", "next").orderBy(F.desc("often"), "run"))
+    ranked = probes.join(sketches.select("name", "slack"), "name").withColumn("rank", rank)
+    probes = written(ranked.where(F.col("rank") > F.get("slack", F.col("next"))).select("run", "name", F.lit(PROBE).alias("asks")), "probes")
+    left = written(probes.select("run").distinct(), "left")
+    hint = F.broadcast if left.count() <= SENT_CLASSES else (lambda x: x)  # 8 bytes each
+    runs = runs.join(hint(left), "run", "left_semi").join(probes, ["run", "name"], "left")
+    role = F.col("role").bitwiseAND(INDEX).bitwiseOR(F.coalesce("asks", F.lit(0)))
+    runs = runs.select("run", "name", "n", role.alias("role")).where("role <> 0")
     # runs whose members are not all connected yet
     at = runs.join(names, runs.name == names.node, "left").select("run", "name", "n", "role", F.coalesce("component", "name").alias("component"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / WIDE), F.ceil(F.sum("n") / (16 * ENTRIES))).cast("int")  # sketches have at most four bits a hash
-    open_ = at.groupBy("run").agg((F.min("component") != F.max("component")).alias("open"), blocks.alias("blocks")).where("open").select("run", "blocks")
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / WIDE), F.ceil(F.sum(F.when(of, F.col("n"))) / (16 * ENTRIES))).cast("int")  # noqa: E731  # sketches have at most four bits a hash
+    open_ = at.groupBy("run").agg((F.min("component") != F.max("component")).alias("open"), blocks(asks).alias("down"), blocks(has).alias("across")).where("open").drop("open")
     runs = written(at.join(open_, "run"), "runs")
     if runs.head(1):
-        full = _dealt(runs).join(sketches.select("name", "sketch"), "name").select("run", "block", "part", "name", "n", "role", "component", "sketch")
-        active = full.groupBy("run", "block").applyInArrow(_active, "run long, block int, name long, component long, n long").drop("block").distinct()
+        full = _grid(runs).join(sketches.select("name", "sketch"), "name").select("run", "block", "name", "n", "role", "component", "sketch")
+        active = full.groupBy("run", "block").applyInArrow(_active, "run long, name long, component long, n long").distinct()
         active = written(active, "active")
         # runs with the same active members need one look
         like = active.groupBy("run").agg(F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).alias("like"), F.ceil(F.sum("n") / ENTRIES).cast("int").alias("blocks"))

@@ -105,6 +105,46 @@ def test_pigeonhole_loses_nothing():
         assert np.bitwise_count(jaccard._folded(np.frombuffer(sx, "<u8"), w) ^ jaccard._folded(np.frombuffer(sy, "<u8"), w)).sum() <= (len(a) + len(b)) // 7
 
 
+def test_linked_sets_share_more_keys_than_slack():
+    """A set may leave out as many of its keys as it has slack: of those it asks for, linked sets share more."""
+    rng, seen = random.Random(9), 0
+    for _ in range(400):
+        n = rng.choice([5, 10, 20, 60, 150, 400, 1200])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n - rng.randrange(n // 7 + 1)))
+        b |= {rng.getrandbits(64) for _ in range(rng.randrange(n // 6 + 1))}
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        x, y = (np.array(sorted(s), np.uint64) for s in sorted((a, b), key=len))
+        (fx, enough), (fy, _) = jaccard.signatures(x), jaccard.signatures(y)
+        next_ = int(np.searchsorted(jaccard.EDGES, len(y), side="right") - np.searchsorted(jaccard.EDGES, len(x), side="right"))
+        asked = {int(k) for ks, r in fx if r & jaccard.PROBE and bool(r & jaccard.NEXT) == bool(next_) for k in ks}
+        has = {int(k) for ks, r in fy if r & jaccard.INDEX for k in ks}
+        if enough:
+            assert len(asked & has) > jaccard.slack(x)[next_]
+            seen += jaccard.slack(x)[next_] > 0
+    assert seen > 100
+
+
+def test_common_passages_bring_no_comparisons(spark, monkeypatch):
+    """Texts that have a passage in common, and else nothing, stay out of the comparisons by sketches; their near copies are found."""
+    counts, written = collections.Counter(), jaccard.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(11)]
+    rows = [(i, " ".join([f"q{rng.randrange(10**6)}" for _ in range(120)] + passage)) for i in range(400)]
+    rows += [(1000 + i, t + " more words") for i, t in rows[:40]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_brute(rows) and got[1000] == (129, 0)
+    assert counts["met"] > 40 and counts["runs"] < 100
+
+
 def test_join_on_all_hashes(spark):
     rows = near_rows(7)[:150]
     df = spark.createDataFrame(rows, "doc_id long, text string")
