@@ -145,6 +145,17 @@ def test_common_passages_bring_no_comparisons(spark, monkeypatch):
     assert counts["met"] > 40 and counts["runs"] < 100
 
 
+def test_grid_of_a_run(spark):
+    """Each probe meets each other set of its run in one block, and a run of few probes is not copied by the square of its length."""
+    rows = [(1, i, jaccard.INDEX | (jaccard.PROBE if i < 3 else 0), 1, 7) for i in range(200)] + [(2, i, 1 + i % 3, 3, 4) for i in range(60)]
+    dealt = jaccard._grid(spark.createDataFrame(rows, "run long, name long, role int, down int, across int")).collect()
+    met = collections.Counter()
+    for p in dealt:
+        met.update((p.run, p.name, q.name) for q in dealt if p.role & jaccard.PROBE and q.role & jaccard.INDEX and (p.run, p.block) == (q.run, q.block))
+    assert met == collections.Counter((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[2] & jaccard.PROBE and q[2] & jaccard.INDEX)
+    assert sum(r.run == 1 for r in dealt) <= 200 + 3 * 7
+
+
 def test_join_on_all_hashes(spark):
     rows = near_rows(7)[:150]
     df = spark.createDataFrame(rows, "doc_id long, text string")
