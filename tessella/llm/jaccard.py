@@ -11,7 +11,8 @@ linked sets agree on whole segments.
   differs by at most one hash (the segment, its deletions, and the index's deletions). All non-empty segments get 1, in the next band only
   EXTRA more than are needed, those with most hashes, which are shared least; empty segments, which most sets share, get 0; what is then missing is
   raised to 2 on the cheapest reserve segments. Sets for which even that is too little go through a join on all their hashes.
-* A key's sets meet in a reducer; a text with over COPIES copies emits its keys once. Small runs give their pairs. A long run gives the
+* A key's sets meet in a reducer; a text with over COPIES copies emits its keys once. Keys are dealt band by band: a set's keys, which are of two
+  bands, go to the reducers of these, so that its name and size are sent to few. Small runs give their pairs. A long run gives the
   pairs of its least set and keeps its members. A set that asked for e segments more than H + 1 shares at least e + 1 of them with each that it links
   with, so it leaves out its e longest runs: a passage that many texts hold brings no comparisons of texts that have more to tell them by.
   In a run whose members these links don't connect, sketches tell which members may link with one of another component, in blocks of about
@@ -26,6 +27,7 @@ Null and empty texts have no set and link with nothing. Ids may repeat or be nul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,6 +234,12 @@ def slack(s: np.ndarray) -> tuple[int, int]:
 
 def signatures(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], bool]:
     """Keys of a set with their roles; False if its allocations don't add up in some band, so that the set needs the join on all hashes."""
+    out, enough = _banded(s)
+    return [(keys, role) for keys, role, _ in out], enough
+
+
+def _banded(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int, int]], bool]:
+    """What signatures() returns, with the band of the keys after their role."""
     n, out, enough = len(s), [], True
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     for band in (own, own + 1):
@@ -252,16 +260,16 @@ def signatures(s: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], bool]:
         without = sum_[each] - (total[at + 1] - total[at])
         if band == own:
             far = size[each] >= 3  # raised segments have two hashes or more: no other is asked for
-            out += [(whole, INDEX | PROBE), (_keys(band, seg[each[far]], without[far], True), INDEX)]
+            out += [(whole, INDEX | PROBE, band), (_keys(band, seg[each[far]], without[far], True), INDEX, band)]
         else:
-            out.append((whole[asked], PROBE | NEXT))
+            out.append((whole[asked], PROBE | NEXT, band))
         lack = need - len(seg)
         if lack > 0:
             able = in_reserve[size[in_reserve] >= 2]
             able = able[np.argsort(size[able], kind="stable")][:lack]
             enough &= len(able) == lack
             raised = np.isin(each, able)
-            out += [(_keys(band, seg[able], sum_[able], True), PROBE), (_keys(band, seg[each[raised]], without[raised], False), PROBE)]
+            out += [(_keys(band, seg[able], sum_[able], True), PROBE, band), (_keys(band, seg[each[raised]], without[raised], False), PROBE, band)]
     return out, enough
 
 
@@ -276,22 +284,46 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _range(top: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a key by the upper 16 of its 48 bits."""
-    return top.astype(np.int64) * parts >> 16
+def band_keys(sizes: list[tuple[int, int, int]]) -> np.ndarray:
+    """About how many keys each band gets, from its number, sets and hashes, where sets are spread over segments at random."""
+    out = np.zeros(len(EDGES))
+    for band, sets, hashes in sizes:
+        n = hashes / sets
+        _, m, reserve = _plan(band)
+        full = lambda m: m * (1 - math.exp(-n / m))
+        a = n / m  # hashes a segment; those in segments of three or more have deletions
+        out[band] += sets * (full(m) + reserve * (a - (a + a * a) * math.exp(-a)))
+        out[band + 1] += sets * _asked(band + 1, band, int(n), int(full(_plan(band + 1)[1])))[1]
+    return out
+
+
+def _shares(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each band's share of 2^32 begins, and how wide it is."""
+    ends = np.floor(np.concatenate([[0], np.cumsum(weights)]) / max(1.0, weights.sum()) * (1 << 32)).astype(np.int64)
+    return ends[:-1], np.diff(ends)
 
 
-def _emit(parts: int):
+def _part(key: np.ndarray, band: np.ndarray, shares: tuple[np.ndarray, np.ndarray], parts: int) -> np.ndarray:
+    """The part of a key, by the place of its upper 24 of 48 bits in its band's share."""
+    begin, wide = shares
+    place_ = begin[band] + (wide[band] * (key >> np.uint64(24)).astype(np.int64) >> 24)
+    return np.minimum(place_ * parts >> 32, parts - 1)
+
+
+def _emit(weights: np.ndarray, parts: int):
+    shares = _shares(weights)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches, SLICE):
             sets = shingle_sets(strings(b.column(0)))
             n, names = _class(sets)
-            keys, docs, roles, rest = [], [], [], []
+            keys, docs, roles, bands, rest = [], [], [], [], []
             _, first = np.unique(names, return_index=True)
             for i in first[n[first] > 0].tolist():
-                found, enough = signatures(sets[i])
-                for k, role in found:
+                found, enough = _banded(sets[i])
+                for k, role, band in found:
                     keys.append(k)
+                    bands.append(np.full(len(k), band, np.int64))
                     docs.append(np.full(len(k), i, np.int64))
                     roles.append(np.full(len(k), role, np.uint8))
                 if not enough:
@@ -300,8 +332,9 @@ def _emit(parts: int):
                 continue
             key, doc, role = np.concatenate(keys), np.concatenate(docs), np.concatenate(roles)
             key &= np.uint64((1 << 48) - 1)
-            part = _range(key >> np.uint64(32), parts)
+            part = _part(key, np.concatenate(bands), shares, parts)
             order = np.argsort(key, kind="stable")
+            order = order[np.argsort(part[order] * SUBPARTS + (key[order] % np.uint64(SUBPARTS)).astype(np.int64), kind="stable")]
             key, doc, role, part = key[order], doc[order], role[order], part[order]
             rows: list[tuple] = []
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
@@ -319,23 +352,18 @@ def _emit(parts: int):
 _MET = "kind int, a long, b long, n long, role int, often long"
 
 
-def _meet(parts: int):
-    """What the keys of one part say. A reducer takes SUBPARTS times ENTRIES keys, in which a set's name and size stand once, and unpacks one range of keys after the other."""
-
-    def meet(group: pa.Table) -> pa.Table:
-        if group.num_rows and group.column(0)[0].as_py() < 0:
-            short = np.concatenate([np.frombuffer(x, "<i8") for x in group.column(3).to_pylist()])
-            z = np.zeros(len(short), np.int64)
-            return pa.table([pa.array(x) for x in ((z + 2).astype(np.int32), z, short, z, z.astype(np.int32), z)], names=["kind", "a", "b", "n", "role", "often"])
-        rows = []
-        for p, k, local, names, sizes in zip(*(c.to_pylist() for c in group.columns)):
-            planes = np.frombuffer(k, np.uint8).reshape(6, -1)
-            fine = _range(planes[5].astype(np.int64) << 8 | planes[4], parts * SUBPARTS)
-            ends = np.searchsorted(fine, np.arange(p * SUBPARTS, (p + 1) * SUBPARTS + 1))
-            rows.append((planes, np.frombuffer(local, np.uint8).reshape(3, -1), np.frombuffer(names, "<i8"), np.frombuffer(sizes, "<u4"), ends))
-        return pa.concat_tables([_runs(rows, i) for i in range(SUBPARTS)])
-
-    return meet
+def _meet(group: pa.Table) -> pa.Table:
+    """What the keys of one part say. A reducer takes SUBPARTS times ENTRIES keys, in which a set's name and size stand once, and unpacks one class of keys modulo SUBPARTS after the other."""
+    if group.num_rows and group.column(0)[0].as_py() < 0:
+        short = np.concatenate([np.frombuffer(x, "<i8") for x in group.column(3).to_pylist()])
+        z = np.zeros(len(short), np.int64)
+        return pa.table([pa.array(x) for x in ((z + 2).astype(np.int32), z, short, z, z.astype(np.int32), z)], names=["kind", "a", "b", "n", "role", "often"])
+    rows = []
+    for _, k, local, names, sizes in zip(*(c.to_pylist() for c in group.columns)):
+        planes = np.frombuffer(k, np.uint8).reshape(6, -1)
+        ends = np.searchsorted(planes[0] % SUBPARTS, np.arange(SUBPARTS + 1))
+        rows.append((planes, np.frombuffer(local, np.uint8).reshape(3, -1), np.frombuffer(names, "<i8"), np.frombuffer(sizes, "<u4"), ends))
+    return pa.concat_tables([_runs(rows, i) for i in range(SUBPARTS)])
 
 
 def _runs(rows: list[tuple], nth_range: int) -> pa.Table:
@@ -487,11 +515,14 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(names, mask=n == 0), pa.array([_sketch(x) if len(x) else None for x in sets], pa.binary()), pa.array([slack(x) for x in sets], pa.list_(pa.int32())), b.column(2)], [id, "n_shingles", "name", "sketch", "slack", "hash"])
 
     members = written(docs.select(id, text, text_hash(F.col(text))).mapInArrow(size, f"`{id}` {kind}, n_shingles long, name long, sketch binary, slack array<int>, hash long"), "members")
-    total = members.agg(F.sum("n_shingles")).head()[0] or 0
-    parts = max(8, -(-total * 3 // (4 * SUBPARTS * ENTRIES)))
+    band = F.size(F.filter(F.lit(EDGES.tolist()), lambda e: e <= F.col("n_shingles"))) - 1
+    often = members.where("n_shingles > 0").groupBy("n_shingles").count()
+    sizes = often.groupBy(band.alias("band")).agg(F.sum("count"), F.sum(F.col("count") * F.col("n_shingles"))).collect()
+    weights = band_keys([tuple(r) for r in sizes])
+    parts = max(8, math.ceil(weights.sum() / (SUBPARTS * ENTRIES)))
     once = each_once(docs, text, members.select("hash"))
-    sent = once.select("text").mapInArrow(_emit(parts), "p int, keys binary, local binary, names binary, sizes binary")
-    met = written(sent.groupBy("p").applyInArrow(_meet(parts), _MET), "met")
+    sent = once.select("text").mapInArrow(_emit(weights, parts), "p int, keys binary, local binary, names binary, sizes binary")
+    met = written(sent.groupBy("p").applyInArrow(_meet, _MET), "met")
     release(spark)
     sketches = written(members.where("name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "sketch", "slack", "hash").dropDuplicates(["name"]), "sketches")
     one = sketches.select(F.col("name").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ak"))

@@ -126,6 +126,27 @@ def test_linked_sets_share_more_keys_than_slack():
     assert seen > 100
 
 
+def test_keys_are_dealt_by_band():
+    """A set's keys go to the reducers of its two bands, not to all: its name is sent to few. Parts are even, and equal keys are in one part."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(int(2 ** rng.uniform(5, 11)))) for _ in range(400)]
+    n, _ = jaccard._class(sets := jaccard.shingle_sets(pa.array(texts, pa.large_string())))
+    band = np.searchsorted(jaccard.EDGES, n, side="right") - 1
+    weights = jaccard.band_keys([(int(b), int((band == b).sum()), int(n[band == b].sum())) for b in np.unique(band)])
+    rows = [r for b in jaccard._emit(weights, 100)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])) for r in b.to_pylist()]
+    sizes, where, sent = collections.Counter(), {}, 0
+    for r in rows:
+        keys = jaccard._unplanes(r["keys"], 6)
+        sizes[r["p"]] += len(keys)
+        sent += len(r["names"]) // 8
+        assert all(where.setdefault(k, r["p"]) == r["p"] for k in keys.tolist())
+    emitted = [{int(k) & (1 << 48) - 1 for keys, _ in jaccard.signatures(s)[0] for k in keys} for s in sets]
+    assert set(where) == set().union(*emitted)
+    assert max(sizes) < 100 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 100
+    dealt_evenly = sum(len({k * 100 >> 48 for k in x}) for x in emitted)  # by the keys alone, as before
+    assert sent < 0.4 * dealt_evenly, (sent, dealt_evenly)
+
+
 def test_common_passages_bring_no_comparisons(spark, monkeypatch):
     """Texts that have a passage in common, and else nothing, stay out of the comparisons by sketches; their near copies are found."""
     counts, written = collections.Counter(), jaccard.written
