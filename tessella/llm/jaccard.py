@@ -533,7 +533,10 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        return written(_verified(pairs, _texts(docs, text, wanted.join(sketches.select("name", "hash"), "name"))), "links")
+        texts = _texts(docs, text, wanted.join(sketches.select("name", "hash"), "name"))
+        out = written(_verified(pairs, texts), "links")
+        forget(texts)
+        return out
 
     links = verified(written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs"))
     release(spark)
@@ -605,7 +608,9 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     columns = docs.columns
     id, text, docs = place(docs, id), place(docs, text), numbered(docs)
     key = F.coalesce(F.col(id).cast("string"), F.lit("null"))
-    at = written(linked(docs, id=id, text=text).where("name IS NOT NULL"), "linked")
+    every = linked(docs, id=id, text=text)
+    at = written(every.where("name IS NOT NULL"), "linked")
+    forget(every)  # members and classes
     first = F.col(id).eqNullSafe(F.col("component_id"))
     mark = F.xxhash64(key, "name").alias("mark")
     gone = written(at.where(~first).select(mark).distinct(), "gone")

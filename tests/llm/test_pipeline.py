@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tessella.llm.common import written
+from tessella.llm.common import shared_dir, written
 
 
 def run(spark, docs):
@@ -29,6 +29,21 @@ def test_empty(spark):
     assert sizes == [0] * 6
 
 
+def test_stages_leave_no_large_tables(spark):
+    """What holds texts, sketches or keys is deleted once no later step reads it: later stages run on the same disk."""
+    passage = " ".join(f"passage{i}" for i in range(80))
+    rows = [(i, f"{passage} " + " ".join(f"w{i // 2}x{j}" for j in range(300)) + f" end{i}", "en", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    had = set(os.listdir(folder))
+    kept = written(corpus_pipeline.near_duplicates(spark, docs, ""), "kept")
+    out = corpus_pipeline.repeated_passages(spark, kept, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 12, 2))
+    assert all("passage1 " not in r.text and f"end{r.doc_id}" in r.text for r in out.collect())
+    left = {x.split("-")[0] for x in os.listdir(folder) if x not in had}
+    assert not left & {"members", "classes", "met", "sketches", "texts", "codes", "work"}, left
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
