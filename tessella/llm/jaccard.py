@@ -10,7 +10,8 @@ linked sets agree on whole segments.
 * Probe: the smaller set of a pair needs allocations that add up to H + 1: 1 asks for an equal segment, 2 for one that
   differs by at most one hash (the segment, its deletions, and the index's deletions). All non-empty segments get 1, in the next band only
   EXTRA more than are needed, those with most hashes, which are shared least; empty segments, which most sets share, get 0; what is then missing is
-  raised to 2 on the cheapest reserve segments. Sets for which even that is too little go through a join on all their hashes.
+  raised to 2 on the cheapest reserve segments. Sets for which even that is too little go through a join
+  on all their hashes: these are looked for in the texts, and only those found are shuffled.
 * A key's sets meet in a reducer; a text with over COPIES copies emits its keys once. Keys are dealt band by band: a set's keys, which are of two
   bands, go to the reducers of these, so that its name and size are sent to few. Small runs give their pairs. A long run gives the
   pairs of its least set and keeps its members. A set that asked for e segments more than H + 1 shares at least e + 1 of them with each that it links
@@ -27,6 +28,7 @@ Null and empty texts have no set and link with nothing. Ids may repeat or be nul
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -381,7 +383,7 @@ def _runs(rows: list[tuple], nth_range: int) -> pa.Table:
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = key[1:] == key[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    shared = (np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(key)]
     order, key = order[shared], key[shared]  # keys of one set only are gone
     order = order[np.lexsort((name[order], key))]
     key = np.sort(key)
@@ -483,6 +485,42 @@ def _all_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["name", "n", "h"])
 
 
+def _hashes_of(sizes: np.ndarray, some: np.ndarray):
+    """As _all_hashes, but of sets that may link with one of those sizes (sorted) only, and of their hashes only some (sorted)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches, 1 << 20):
+            sets = shingle_sets(strings(b.column(0)))
+            n, names = _class(sets)
+            _, first = np.unique(names, return_index=True)
+            least = sizes[np.minimum(np.searchsorted(sizes, -(-3 * n[first] // 4)), len(sizes) - 1)]
+            first = first[(4 * least >= 3 * n[first]) & (3 * least <= 4 * n[first])]
+            own = [sets[i] for i in first.tolist()]
+            own = [s[some[np.minimum(np.searchsorted(some, s), len(some) - 1)] == s] for s in own]
+            m = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[first], m)), pa.array(np.repeat(n[first], m)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["name", "n", "h"])
+
+    return hashes
+
+
+def _sharing(docs: DataFrame, text: str, rest: DataFrame, sketches: DataFrame) -> DataFrame:
+    """name, n, h: of the sets in rest all hashes, of the sets that may link with one of them those that stand in one.
+
+    Only these hashes are shuffled, not those of all sets. Each pass over the texts looks for ENTRIES hashes at most.
+    """
+    texts = _texts(docs, text, rest.select("name").distinct().join(sketches.select("name", "hash"), "name"))
+    own = written(texts.select("text").mapInArrow(_all_hashes, "name long, n long, h long"), "own")
+    forget(texts)
+    sizes = np.sort(own.select("n").distinct().toArrow().column(0).to_numpy())
+    passes = math.ceil(own.select("h").distinct().count() / ENTRIES)
+    out = []
+    for i in range(passes):
+        h = own.where(F.pmod("h", F.lit(passes)) == i).select("h").distinct().toArrow().column(0).to_numpy()
+        some = np.sort(h.view(np.uint64))
+        out.append(written(docs.select(text).mapInArrow(_hashes_of(sizes, some), "name long, n long, h long").distinct(), "sets"))
+    return functools.reduce(DataFrame.union, out)
+
+
 def _dealt(runs: DataFrame) -> DataFrame:
     """Members of runs, cut into `blocks` parts, once in each pair of parts that holds their own: part, block."""
     part = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
@@ -574,8 +612,7 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
             names = components(links)
     rest = met.where("kind = 2").select(F.col("b").alias("name"))
     if rest.head(1):
-        sets = written(once.select("text").mapInArrow(_all_hashes, "name long, n long, h long").distinct(), "sets")
-        links = links.union(verified(written(_rest(sets, rest), "pairs")))
+        links = links.union(verified(written(_rest(_sharing(docs, text, rest, sketches), rest), "pairs")))
         names = components(links)
     for used in (met, runs, sketches):
         forget(used)

@@ -190,6 +190,34 @@ def test_join_on_all_hashes(spark):
     assert all(a < b and by[a] & by[b] for a, b in got)
 
 
+def test_few_keys(spark):
+    """Reducers get keys of some classes only."""
+    rows = [(3, "one"), (1, "One"), (2, "a b c d e f")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_brute(rows)
+
+
+def test_sets_short_of_keys_send_few_hashes(spark, monkeypatch):
+    """A set whose allocations fall short is looked for in all texts, but the hashes of the others are not shuffled."""
+    counts, written = collections.Counter(), jaccard.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "ENTRIES", 5)  # more hashes than one pass looks for
+    rng = random.Random(3)
+    short = lambda t: not jaccard.signatures(jaccard.shingle_sets(pa.array([t], pa.large_string()))[0])[1]
+    text = next(t for t in (" ".join(f"w{rng.randrange(10**6)}" for _ in range(11)) for _ in range(10**5)) if short(t))
+    rows = [(1, text), (2, text + " more"), (3, f"{text} other"), (4, text.upper()), (5, " ".join(text.split()[:9]) + " else"), (6, text)]
+    rows += [(10 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([11, 12])))) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_brute(rows) and got[3] == (8, 1)
+    assert 7 <= counts["sets"] < 60
+
+
 @pytest.mark.parametrize("wide", [16_384, 20])
 def test_near_copies_of_one_text(spark, monkeypatch, wide):
     """A large group whose members link with few others, and whose links no pivot gives; exact copies; whole runs and runs in blocks."""
