@@ -21,7 +21,8 @@ linked sets agree on whole segments.
   that join all that links join, at most one fewer than the members, not all pairs.
 * A sketch holds the parities of a set's hashes in 2^k >= 2n bits. The bits in which two sketches differ are a lower bound of the symmetric
   difference, so a pair with more than a seventh of its sizes' sum cannot link: no text is fetched for it, and no link is lost.
-* Every pair left is verified on the shingles of both texts. Links make components.
+* Every pair left is verified on the shingles of both texts. What pairs connect meets in one bucket, so that each text is sent once there, not once
+  a pair. Links make components.
 
 Null and empty texts have no set and link with nothing. Ids may repeat or be null; classes go by texts. The number of reducers follows the number of shingles.
 """
@@ -432,22 +433,55 @@ def _runs(rows: list[tuple], nth_range: int) -> pa.Table:
     return pa.table([pa.array(c) for c in cols], names=["kind", "a", "b", "n", "role", "often"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets link: 100 * intersection >= 75 * union."""
+def _verified(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Of one bucket: the pairs (a, b) whose sets link, 100 * intersection >= 75 * union. Texts by name, repeats allowed."""
+    name, first = np.unique(texts.column("name").to_numpy(), return_index=True)
+    text = texts.column("text").take(pa.array(first))
+    sets = []
+    for part in few(pa.table([text], ["text"]).to_batches(), 4 << 20):
+        sets += shingle_sets(strings(part.column(0)))
+    one, two = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    ok = []
+    for i, j in zip(np.searchsorted(name, one).tolist(), np.searchsorted(name, two).tolist()):
+        x, y = sets[i], sets[j]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        ok.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
+    keep = np.array(ok, bool)
+    return pa.table([pa.array(one[keep]), pa.array(two[keep])], names=["a", "b"])
+
+
+def _seen_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, without those whose bucket and name this task has had."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        keep = []
+        for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            keep.append(x not in seen)
+            seen.add(x)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches, 4 << 20):
-            left, right = shingle_sets(strings(b.column(2))), shingle_sets(strings(b.column(3)))
-            ok = []
-            for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+def _in_buckets(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bucket, a, b: pairs dealt so that few texts are needed in two buckets. sizes: name, n.
 
-    one = texts.select(F.col("name").alias("a"), F.col("text").alias("one"))
-    two = texts.select(F.col("name").alias("b"), F.col("text").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    What pairs connect goes to one bucket. Where that is over ENTRIES hashes, its pairs are dealt by b: each b is in one bucket, and the few
+    that others were held against (a long run's least set) are in many.
+    """
+    spark = pairs.sparkSession
+    at = components(pairs).select(F.col("node").alias("name"), "component")
+    held = written(at.join(sizes, "name").groupBy("component").agg(F.sum("n").alias("held")), "held")
+    large = held.where(F.col("held") > ENTRIES).select("component", F.lit(True).alias("large"))
+    weight = held.where(F.col("held") <= ENTRIES).agg(F.coalesce(F.sum("held"), F.lit(0))).head()[0]
+    dealt = pairs.join(at.withColumnRenamed("name", "a"), "a")
+    own = F.col("component")
+    if large.head(1):
+        few_ = large.count() <= SENT_CLASSES
+        dealt = dealt.join(F.broadcast(large) if few_ else large, "component", "left")
+        own = F.when(F.col("large"), F.col("b")).otherwise(own)
+        one, two = (sizes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        weight += dealt.where("large").join(one, "a").join(two, "b").agg(F.sum(F.col("na") + F.col("nb"))).head()[0]
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / ENTRIES))
+    return dealt.select(F.pmod(F.xxhash64(own), F.lit(many)).cast("int").alias("bucket"), "a", "b")
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -570,10 +604,16 @@ def jaccard_links(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ak", "bk").mapInArrow(_may_link, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        texts = _texts(docs, text, wanted.join(sketches.select("name", "hash"), "name"))
-        out = written(_verified(pairs, texts), "links")
-        forget(texts)
+        dealt = written(_in_buckets(pairs, sketches.select("name", "n")), "dealt")
+        wanted = dealt.select("bucket", F.col("a").alias("name")).union(dealt.select("bucket", "b")).distinct()
+        wanted = written(wanted.join(sketches.select("name", "hash"), "name"), "wanted")
+        release(spark)
+        hint = F.broadcast if wanted.count() <= SENT_CLASSES else (lambda x: x)  # 20 bytes each
+        hashed = docs.select(text_hash(F.col(text)).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        texts = hashed.join(hint(wanted), "hash").select("bucket", "name", "text").mapInArrow(_seen_once, "bucket int, name long, text string")
+        out = written(texts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_verified, "a long, b long"), "links")
+        for used in (dealt, wanted):
+            forget(used)
         return out
 
     links = verified(written(near(met.where("kind = 0").select("a", "b").distinct()), "pairs"))

@@ -190,6 +190,33 @@ def test_join_on_all_hashes(spark):
     assert all(a < b and by[a] & by[b] for a, b in got)
 
 
+def test_a_text_goes_to_one_bucket(spark, monkeypatch):
+    """Near copies bring pairs by the square, but each text of a group goes to one bucket; a large group is cut, and only its pivot goes to many."""
+    monkeypatch.setattr(jaccard, "ENTRIES", 200)
+    groups = [(20 * g + i, 20 * g + j) for g in range(30) for i in range(12) for j in range(i + 1, 12)]
+    star = [(1000, 1001 + i) for i in range(300)]
+    names = sorted({x for p in groups + star for x in p})
+    sizes = spark.createDataFrame([(x, 10) for x in names], "name long, n long")
+    rows = [(r.bucket, r.a, r.b) for r in jaccard._in_buckets(spark.createDataFrame(groups + star, "a long, b long"), sizes).collect()]
+    assert sorted(r[1:] for r in rows) == groups + star
+    where = collections.defaultdict(set)
+    for bucket, a, b in rows:
+        where[a].add(bucket)
+        where[b].add(bucket)
+    assert all(len(where[x]) == 1 for x in names if x != 1000) and len(where[1000]) > 8
+    most = max(collections.Counter(x for b in where.values() for x in b).values())
+    assert most < 100  # not a whole star: 1,000 hashes
+
+
+def test_pairs_of_a_bucket():
+    """Pairs that link, whatever the order of texts; copies of a text count once."""
+    base = [f"w{i}" for i in range(40)]
+    texts = {7: base, 3: [*base, "x"], 9: base[:20] + ["y"] * 20, 5: base[1:]}
+    table = pa.table({"bucket": pa.array([0] * 5), "name": pa.array([7, 3, 9, 5, 7]), "text": [" ".join(texts[x]) for x in (7, 3, 9, 5, 7)]})
+    pairs = pa.table({"bucket": pa.array([0] * 4), "a": pa.array([3, 7, 5, 3]), "b": pa.array([7, 9, 7, 5])})
+    assert jaccard._verified(table, pairs).to_pylist() == [{"a": 3, "b": 7}, {"a": 5, "b": 7}, {"a": 3, "b": 5}]
+
+
 def test_few_keys(spark):
     """Reducers get keys of some classes only."""
     rows = [(3, "one"), (1, "One"), (2, "a b c d e f")]
